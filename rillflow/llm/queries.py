@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, quality, rules, urls
+from . import bpe, linededup, quality, rules, suffix, urls
 
 #: Where the public tokenizers' vocabulary files lie; they are never copied into this repository.
 TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
@@ -37,12 +37,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.page_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
