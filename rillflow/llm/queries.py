@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, quality, rules, suffix, urls
+from . import bpe, linededup, neardup, quality, rules, suffix, urls
 
 #: Where the public tokenizers' vocabulary files lie; they are never copied into this repository.
 TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
@@ -37,6 +37,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.page_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
