@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, neardup, quality, rules, suffix, urls
+from . import bpe, linededup, neardup, quality, rules, suffix, toxicity, urls
 
 #: Where the public tokenizers' vocabulary files lie; they are never copied into this repository.
 TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
@@ -41,6 +41,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

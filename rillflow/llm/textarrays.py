@@ -98,10 +98,10 @@ class Words:
     first: np.ndarray
 
 
-def find_words(slab: Slab) -> Words:
-    """Maximal runs of bytes other than space and \\x09-\\x0D, never across texts."""
+def find_words(slab: Slab, separates: np.ndarray = IS_SPACE) -> Words:
+    """Maximal runs of bytes that don't separate words, never across texts."""
     solid = np.zeros(len(slab.data) + 1, dtype=bool)
-    np.logical_not(IS_SPACE[slab.data], out=solid[:-1])
+    np.logical_not(separates[slab.data], out=solid[:-1])
     opens = solid[:-1].copy()
     opens[1:] &= ~solid[:-2]
     heads = slab.start[:-1][slab.start[:-1] < len(slab.data)]
