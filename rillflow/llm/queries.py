@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, neardup, quality, rules, suffix, toxicity, urls
+from . import bpe, linededup, neardup, quality, rules, suffix, toxicity, urls, warc
 
 #: Where the public tokenizers' vocabulary files lie; they are never copied into this repository.
 TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_vocabulary(f"{TOKENIZERS}/word_bpe_49k.json"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
