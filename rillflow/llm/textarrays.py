@@ -40,6 +40,10 @@ BYTE_CODE = _byte_codes()
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Separators that also cut off ASCII punctuation.
+IS_SPACE_OR_MARK = IS_SPACE.copy()
+IS_SPACE_OR_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

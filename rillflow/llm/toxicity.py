@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import is_held_out, sample
-from .textarrays import IS_SPACE, Rolling, Slab, Words, as_array, find_words, hash_words, mix64, slabs
+from .textarrays import IS_SPACE_OR_MARK, Rolling, Slab, Words, as_array, find_words, hash_words, mix64, slabs
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -30,9 +30,6 @@ SAMPLE_ROWS = 1500
 
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_SEPARATES = IS_SPACE.copy()
-_SEPARATES[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
-
 
 @dataclass(frozen=True)
 class Model:
@@ -64,7 +61,7 @@ def subwords(slab: Slab, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
 
 def distinct_words(slab: Slab) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words of a slab, an occurrence of each distinct one, and the distinct word of each."""
-    words = find_words(slab, _SEPARATES)
+    words = find_words(slab, IS_SPACE_OR_MARK)
     _, one, kind = np.unique(hash_words(slab.data, words.begin, words.end), return_index=True, return_inverse=True)
     return words, one, kind
 
