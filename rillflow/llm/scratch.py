@@ -36,17 +36,17 @@ def store(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def remove(spark: SparkSession, *frames: DataFrame) -> None:
+def remove(*frames: DataFrame) -> None:
     """Deletes the files behind frames made by ``store`` that nothing needs any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for frame in frames:
-        for path in {name.rpartition("/")[0] for name in frame.inputFiles()}:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+        context = frame.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import release, store
+from .scratch import remove, store
 from .textarrays import Rolling, Slab, mix64, sliding_min, slabs
 
 LENGTH = 400
 #: Suffixes that a bucket holds on average.
 BUCKET_ROWS = 400_000
 
+#: Bits of a window's number in its stretch, which has length - length // 2 + 1 windows at most.
+_WINDOW_BITS = 10
+
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0x00000000FFFFFFFF)
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -94,7 +97,10 @@ def _anchor_rows(documents: DataFrame, length: int) -> DataFrame:
 
 
 def _suffix_rows(texts: DataFrame, length: int) -> DataFrame:
-    """A row per window of the stretches listed in ``stretches`` (struct first, n, open)."""
+    """A row per window of the stretches listed in ``stretches`` (struct stretch, first, n, open): two tokens, and ``ref``.
+
+    ``ref`` is (stretch number, window in the stretch, open) in one integer.
+    """
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,76 +109,72 @@ def _suffix_rows(texts: DataFrame, length: int) -> DataFrame:
             for s in slabs(b.column("text")):
                 part = lists.slice(s.first, s.n)
                 items = part.flatten()
-                sizes = part.value_lengths().to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(s.n), sizes)
-                first, n, is_open = (items.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                base = np.cumsum(n) - n
-                pos = np.arange(int(n.sum())) - np.repeat(base - first, n)
-                owner = np.repeat(text, n)
-                at = pos + s.start[owner]
+                text = np.repeat(np.arange(s.n), part.value_lengths().to_numpy(zero_copy_only=False))
+                stretch, first, n, is_open = (items.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = within + np.repeat(first + s.start[text], n)
                 roll = Rolling(s.data)
-                row = pa.array(owner + s.first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(mix64(roll.ranges(at, at + half)).view(np.int64)),
-                        pa.array(mix64(roll.ranges(at + half, at + length)).view(np.int64)),
-                        b.column("doc_id").take(row),
-                        b.column("text_hash").take(row),
-                        pa.array(pos.astype(np.int32)),
-                        pa.array(np.repeat(is_open, n)),
-                    ],
-                    ["t1", "t2", "doc_id", "text_hash", "pos", "open"],
-                )
+                t1, t2 = mix64(roll.ranges(at, at + half)), mix64(roll.ranges(at + half, at + length))
+                ref = (np.repeat(stretch * 2 + is_open.astype(np.int64), n) << _WINDOW_BITS) | within
+                yield pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(ref)], ["t1", "t2", "ref"])
 
-    return texts.mapInArrow(run, "t1 bigint, t2 bigint, doc_id bigint, text_hash bigint, pos int, open boolean")
+    return texts.select("text", "stretches").mapInArrow(run, "t1 bigint, t2 bigint, ref bigint")
 
 
 def _bucket_marks(suffixes: DataFrame) -> DataFrame:
-    """Sorts each partition; rows: state 0 a repeated open window, 1 an open window alone in its bucket's first or last run, 2 another such run."""
+    """Sorts each partition; rows: state 0 a repeated open window (no tokens), 1 an open window alone in its bucket's first or last run, 2 another such run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts or not sum(b.num_rows for b in parts):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
-        t = pa.Table.from_batches(parts)
+        t1, t2, ref = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("t1", "t2", "ref"))
         del parts
-        t1, t2, is_open = (t.column(c).to_numpy() for c in ("t1", "t2", "open"))
+        is_open = (ref >> _WINDOW_BITS) & 1 == 1
         order, same = multikey_sort([t1, t2])
         repeated = same | np.r_[same[1:], False]
-        marked = order[repeated & is_open[order].astype(bool)]
-        edges = [0] if len(order) - 1 == 0 or same[1:].all() else [0, len(order) - 1]
+        marked = ref[order[repeated & is_open[order]]]
+        edges = [0] if same[1:].all() else [0, len(order) - 1]
         border = order[edges]
-        waiting = ~repeated[edges] & is_open[border].astype(bool)
-        take = pa.array(np.r_[marked, border])
-        state = np.r_[np.zeros(len(marked), np.int8), np.where(waiting, 1, 2).astype(np.int8)]
-        out = t.select(["t1", "t2", "doc_id", "text_hash", "pos"]).take(take).append_column("state", pa.array(state))
-        yield from out.to_batches(max_chunksize=100_000)
+        state = np.where(~repeated[edges] & is_open[border], 1, 2).astype(np.int8)
+        none = pa.nulls(len(marked), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(marked), pa.array(np.zeros(len(marked), np.int8))], ["t1", "t2", "ref", "state"])
+        yield pa.RecordBatch.from_arrays([pa.array(t1[border]), pa.array(t2[border]), pa.array(ref[border]), pa.array(state)], ["t1", "t2", "ref", "state"])
 
-    return suffixes.mapInArrow(run, "t1 bigint, t2 bigint, doc_id bigint, text_hash bigint, pos int, state tinyint")
+    return suffixes.mapInArrow(run, "t1 bigint, t2 bigint, ref bigint, state tinyint")
 
 
 def repeated_spans(documents: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(doc_id, text_hash, first, last): runs of window starts whose strings occur elsewhere; runs may touch or overlap."""
+    if length - length // 2 + 1 >= 1 << _WINDOW_BITS:
+        raise ValueError("length is too large")
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
     rows = store(_anchor_rows(keyed, length), "anchors")
 
-    kinds = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "text_hash", "first", "n")).alias("one"))
+    kinds = rows.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"))
     shared = kinds.groupBy("anchor").agg(F.sum("c").alias("total"), F.min("c").alias("least")).where("total >= 2").select("anchor", (F.col("least") == 1).alias("any_open"))
-    groups = store(kinds.join(shared, "anchor").where("c >= 2 or any_open"), "stretch-groups")
-    whole = rows.join(groups.where("c >= 2").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "text_hash", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-
-    fine = groups.where("any_open").select("one.*", (F.col("c") == 1).alias("open"))
+    groups = store(kinds.join(shared, "anchor"), "stretch-groups")
+    matched = store(rows.join(groups, ["anchor", "whole"]), "stretches")
+    remove(rows, groups)
+    whole = matched.where("c >= 2").select("doc_id", "text_hash", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+
+    place = F.struct("doc_id", "text_hash", "first", "n").alias("place")
+    copies = matched.where("any_open and c >= 2").groupBy("anchor", "whole").agg(F.min(place).alias("place")).select("place", F.lit(False).alias("open"))
+    fine = matched.where("any_open and c = 1").select(place, F.lit(True).alias("open")).unionByName(copies)
+    fine = store(fine.select("place.*", "open").withColumn("stretch", F.monotonically_increasing_id()), "open-stretches")
     total = fine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return whole
-    lists = fine.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("first", "n", "open")).alias("stretches"))
-    texts = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", "text", "stretches")
-    suffixes = _suffix_rows(texts, length).repartitionByRange(max(1, -(-int(total) // BUCKET_ROWS)), "t1", "t2", "doc_id", "pos")
+    lists = fine.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("stretch", "first", "n", "open")).alias("stretches"))
+    texts = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    suffixes = _suffix_rows(texts, length).repartitionByRange(max(1, -(-int(total) // BUCKET_ROWS)), "t1", "t2", "ref")
     marks = store(_bucket_marks(suffixes), "suffix-marks")
     across = marks.where("state > 0").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("buckets")).where("buckets >= 2")
     waiting = marks.where("state = 1").join(across, ["t1", "t2"], "left_semi")
-    single = marks.where("state = 0").unionByName(waiting).select("doc_id", "text_hash", F.col("pos").alias("first"), F.col("pos").alias("last"))
-    return whole.unionByName(single)
+    single = marks.where("state = 0").select("ref").unionByName(waiting.select("ref"))
+    single = single.select(F.expr(f"shiftright(ref, {_WINDOW_BITS + 1})").alias("stretch"), F.col("ref").bitwiseAND(F.lit((1 << _WINDOW_BITS) - 1)).cast("int").alias("window"))
+    found = single.join(fine, "stretch").select("doc_id", "text_hash", (F.col("first") + F.col("window")).alias("first"))
+    return whole.unionByName(found.withColumn("last", F.col("first")))
 
 
 def remove_repeats(documents: DataFrame, *, length: int = LENGTH) -> DataFrame:
@@ -184,7 +186,6 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH) -> DataFrame:
     An empty table gives an empty result; other columns are left out.
     """
     spans = store(repeated_spans(documents.select("doc_id", "text"), length=length).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
-    release(documents.sparkSession)
     keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text", "spans")
 
