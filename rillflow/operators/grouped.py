@@ -1,0 +1,231 @@
+"""Operators over many messages of bounded inputs: batches, windows and reductions.
+
+Count windows follow an order column (the offset).  Numbering is two-level (counts of
+offset ranges, then ranks inside a range), so a stream without keys doesn't have to
+pass through one task.
+"""
+
+from __future__ import annotations
+
+import datetime
+import pickle
+from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.message import _plain
+
+#: Offsets in one numbering range.
+RANGE_ROWS = 1 << 20
+#: Accumulators that a task holds before it passes partial ones on.
+HELD_KEYS = 10_000
+
+
+class Accumulator(ABC):
+    """A user-defined aggregate: partial ones are built in tasks, pickled and merged."""
+
+    @abstractmethod
+    def add(self, value: Any) -> Accumulator: ...
+
+    @abstractmethod
+    def get_value(self) -> Any: ...
+
+    @abstractmethod
+    def merge(self, other: Accumulator) -> Accumulator: ...
+
+
+class KVAccumulator(Accumulator):
+    """An accumulator whose value is a mapping."""
+
+
+class GroupBy(ABC):
+    """Gives the key of a payload."""
+
+    @abstractmethod
+    def get_group_by_key(self, payload: Any) -> Any: ...
+
+
+@dataclass(frozen=True)
+class TumblingWindow:
+    """Windows of ``window_size`` messages, or of ``window_timedelta`` of event time."""
+
+    window_size: int | None = None
+    window_timedelta: datetime.timedelta | None = None
+
+    def check(self) -> None:
+        if self.window_size is None and self.window_timedelta is None:
+            raise ValueError("a tumbling window needs a size or a duration")
+        if self.window_size is not None and (not isinstance(self.window_size, int) or self.window_size < 1):
+            raise ValueError("window_size must be a positive number of messages")
+        if self.window_timedelta is not None and self.window_timedelta <= datetime.timedelta(0):
+            raise ValueError("window_timedelta must be positive")
+
+
+@dataclass(frozen=True)
+class SlidingWindow:
+    """Overlapping windows of event time: ``window_size`` long, one every ``window_slide``."""
+
+    window_size: datetime.timedelta
+    window_slide: datetime.timedelta
+
+    def check(self) -> None:
+        if not all(isinstance(x, datetime.timedelta) for x in (self.window_size, self.window_slide)):
+            raise TypeError("sliding windows are durations")
+        second = datetime.timedelta(seconds=1)
+        if self.window_slide <= datetime.timedelta(0) or self.window_slide > self.window_size:
+            raise ValueError("the slide must be positive and not above the size")
+        if self.window_size % second or self.window_slide % second:
+            raise ValueError("size and slide must be whole seconds")
+        if self.window_size % self.window_slide:
+            raise ValueError("the size must be a multiple of the slide")
+
+
+def interval(x: datetime.timedelta) -> str:
+    return f"{round(x.total_seconds() * 1_000_000)} microseconds"
+
+
+def numbered(df: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``_n``: 0, 1, ... in the order of a bigint column, for each key."""
+    if order not in df.columns:
+        raise ValueError(f"count windows need an order column, and there is no {order!r}")
+    ranged = df.withColumn("_range", F.expr(f"{order} div {RANGE_ROWS}"))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return ranged.join(starts, same).withColumn("_n", F.col("_start") + rank - 1).select(*df.columns, "_n")
+
+
+def batch(df: DataFrame, size: int | None, *, span: datetime.timedelta | None = None, keys: Sequence[str] = (), order: str = "src_offset") -> DataFrame:
+    """Batches of ``size`` payloads in order; the last may be smaller (a bounded input is flushed at its end).
+
+    With ``span`` batches are also cut at multiples of it from the key's first message
+    time.  One row each: keys, batch number, payload array, time of the last message,
+    schema and smallest offset of the batch.
+    """
+    if size is None and span is None:
+        raise ValueError("a batch needs a size or a duration")
+    groups = list(keys)
+    if span is not None:
+        first = df.groupBy(*keys).agg(F.min("timestamp").alias("_first"))
+        df = df.join(first, list(keys)) if keys else df.crossJoin(F.broadcast(first))  # one row
+        df = df.withColumn("_span", F.expr(f"(unix_micros(timestamp) - unix_micros(_first)) div {round(span.total_seconds() * 1e6)}")).drop("_first")
+        groups.append("_span")
+    df = numbered(df, order, groups) if size is not None else df.withColumn("_n", F.lit(0))
+    df = df.withColumn("_batch", F.expr(f"_n div {size or 1}"))
+    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("payload").alias("p"))))
+    out = df.groupBy(*groups, "_batch").agg(items.alias("_items"), F.max("timestamp").alias("timestamp"), F.min_by("schema", order).alias("schema"), F.min(order).alias("src_offset"))
+    return out.select(*keys, F.transform("_items", lambda i: i["p"]).alias("payload"), "timestamp", "schema", "src_offset")
+
+
+def windowed(df: DataFrame, window: TumblingWindow | SlidingWindow, *, keys: Sequence[str] = (), order: str = "src_offset", origin: datetime.datetime | None = None) -> tuple[DataFrame, list[str]]:
+    """``df`` with its window columns, and their names.
+
+    Event-time windows give ``window_start`` and ``window_end``; they start at multiples
+    of the slide from ``origin`` (default: the epoch), and with an origin none starts
+    before it.  Count windows give ``window_number``.
+    """
+    window.check()
+    if isinstance(window, TumblingWindow) and window.window_size is not None:
+        if window.window_timedelta is not None:
+            df, _ = windowed(df, TumblingWindow(window_timedelta=window.window_timedelta), origin=origin)
+            keys = [*keys, "window_start", "window_end"]
+        out = numbered(df, order, keys).withColumn("window_number", F.expr(f"_n div {window.window_size}")).drop("_n")
+        return out, [k for k in ("window_start", "window_end") if k in keys] + ["window_number"]
+    size, slide = (window.window_timedelta, window.window_timedelta) if isinstance(window, TumblingWindow) else (window.window_size, window.window_slide)
+    start = datetime.timedelta(0)
+    if origin is not None:
+        utc = origin if origin.tzinfo else origin.replace(tzinfo=datetime.timezone.utc)
+        start = (utc - datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)) % slide
+    out = df.withColumn("_w", F.window("timestamp", interval(size), interval(slide), interval(start)))
+    if origin is not None:
+        out = out.where(F.col("_w.start") >= F.lit(utc))
+    return out.withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w"), ["window_start", "window_end"]
+
+
+def accumulate(df: DataFrame, groups: Sequence[str], accumulator: Callable[[], Accumulator], returns: T.DataType | str) -> DataFrame:
+    """One row per group: its columns and ``payload``, the merged accumulator's value.
+
+    Tasks build partial accumulators (passing them on when they hold many keys), so a
+    hot group reaches its merging task as a few pickled partials, not as rows.
+    """
+    returns = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
+    df = df.select(*groups, "payload") if groups else df.select("payload").withColumn("_all", F.lit(0))
+    names = list(groups) or ["_all"]
+    kept = T.StructType([df.schema[n] for n in names])
+    make = cloudpickle.dumps(accumulator)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        new, held, cells = pickle.loads(make), {}, {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*cells[k], cloudpickle.dumps(a)) for k, a in held.items()], columns=[*names, "_acc"])
+            held.clear()
+            cells.clear()
+            return out
+
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                key = tuple(None if pd.isna(x) else x for x in row[:-1])
+                if key not in held:
+                    held[key], cells[key] = new(), row[:-1]
+                held[key] = held[key].add(_from_arrow(row[-1]))
+            if len(held) > HELD_KEYS:
+                yield flush()
+        if held:
+            yield flush()
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for data in frame["_acc"]:
+            part = pickle.loads(data)
+            total = part if total is None else total.merge(part)
+        out = frame[names].head(1).copy()
+        out["payload"] = [total.get_value()]
+        return out
+
+    partials = df.mapInPandas(partial, T.StructType([*kept, T.StructField("_acc", T.BinaryType())]))
+    out = partials.groupBy(*names).applyInPandas(merge, T.StructType([*kept, T.StructField("payload", returns)]))
+    return out if groups else out.drop("_all")
+
+
+def _from_arrow(value: Any) -> Any:
+    if hasattr(value, "tolist") and not isinstance(value, (str, bytes)):
+        value = value.tolist()
+    return _plain(value)
+
+
+def reduce_messages(
+    df: DataFrame,
+    window: TumblingWindow | SlidingWindow,
+    aggregate: Mapping[str, Column] | Callable[[], Accumulator],
+    *,
+    returns: T.DataType | str = "string",
+    group_by: Mapping[str, Column] | None = None,
+    order: str = "src_offset",
+    origin: datetime.datetime | None = None,
+) -> DataFrame:
+    """Windows by key, aggregated by column expressions or an Accumulator.
+
+    Columns: the keys, the window's columns and ``payload`` (a struct of the named
+    aggregates, or the accumulator's value).  Empty windows are never given.
+    """
+    keys = list(group_by or {})
+    if group_by:
+        df = df.withColumns(dict(group_by))
+    df, names = windowed(df, window, keys=keys, order=order, origin=origin)
+    groups = [*keys, *names]
+    if callable(aggregate):
+        return accumulate(df, groups, aggregate, returns)
+    out = df.groupBy(*groups).agg(*(c.alias(f"_a_{n}") for n, c in aggregate.items()))
+    return out.select(*groups, F.struct(*(F.col(f"_a_{n}").alias(n) for n in aggregate)).alias("payload"))
