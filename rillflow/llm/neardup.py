@@ -6,8 +6,10 @@ token) with probability 1 / (similarity * TOKENS), by a hash of the node, so two
 classes at the wanted similarity go on to a common child in expectation once.  In each
 node all members are first compared with one pivot; members that agree with it are
 coloured by it and need no further comparison among each other, as they are connected
-through it.  What is left of small nodes is compared exhaustively, large nodes branch
-further, and at the last depth whatever is left is compared too, so no node is capped.
+through it; at the first level the others then try a coloured member of each of their
+nodes, and all connected so far is one colour.  What is left of small nodes is compared exhaustively and large nodes branch
+further.  No node is capped: what is left of large nodes at the last depth goes through
+an exact prefix-filter join, in which documents meet only in their rarest shingles.
 Independent trees repeat this: with 24 trees a pair at the threshold is missed with a
 probability under 1e-6 in nodes of depth 2.
 
@@ -25,17 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import release, store
+from .scratch import remove, store
 from .textarrays import LOWER, Slab, find_words, hash_words, mix64, slabs
 
 TOKENS = 64
 TREES = 24
-DEPTH = 6
+DEPTH = 3
 #: Nodes up to this size are compared exhaustively.
-SMALL_NODE = 40
+SMALL_NODE = 64
 LEAST_AGREEMENT = 40
-#: Agreement with the pivot from which a member takes its colour (rechecked on full sets).
-COLOUR_AGREEMENT = 62
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -119,59 +119,24 @@ def _branch(rows: DataFrame, similarity: float, *, roots: bool) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b, agreement) of the distinct pairs with at least LEAST_AGREEMENT equal minwise bytes."""
+    """(a, b) of the distinct pairs with at least LEAST_AGREEMENT equal minwise bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("x", "y"))
-            agreement = (x == y).sum(1)
-            at = pa.array(np.flatnonzero(agreement >= LEAST_AGREEMENT))
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(agreement.astype(np.int32)).take(at)], ["a", "b", "agreement"])
+            at = pa.array(np.flatnonzero((x == y).sum(1) >= LEAST_AGREEMENT))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
     x, y = signed.select(F.col("rep").alias("a"), F.col("bytes").alias("x")), signed.select(F.col("rep").alias("b"), F.col("bytes").alias("y"))
-    return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, agreement int")
+    return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def candidates(signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, agreement) pairs that may be similar, and the membership (node, doc) of the first level's shared nodes."""
-    similarity = percent / 100
-    rows = _branch(signed.select(F.lit(0).cast("bigint").alias("node"), F.col("rep").alias("doc"), "n", F.lit(None).cast("bigint").alias("colour"), "tokens"), similarity, roots=True)
-    found, membership = [], None
-    for level in range(DEPTH):
-        last = level == DEPTH - 1
-        rows = store(rows, f"tree-level-{level}")
-        open_nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count("colour").alias("coloured"), F.min("colour").alias("c1"), F.max("colour").alias("c2"), F.min(F.when(F.col("colour").isNull(), F.struct("doc", "n"))).alias("pivot"))
-        open_nodes = open_nodes.where("m >= 2 and not (coloured = m and c1 = c2)").select("node", F.col("pivot.doc").alias("p"), F.col("pivot.n").alias("pn"))
-        members = store(rows.join(open_nodes, "node"), "members")
-        if membership is None:
-            membership = members.select("node", "doc")
-        stars = store(_agreeing(members.where((F.col("doc") != F.col("p")) & _sizes_fit(F.col("n"), F.col("pn"), percent)).select(F.col("p").alias("a"), F.col("doc").alias("b")), signed), "star-pairs")
-        found.append(stars)
-        close = stars.where(F.col("agreement") >= COLOUR_AGREEMENT).select(F.col("a").alias("p"), F.col("b").alias("doc"), F.lit(True).alias("close"))
-        colour = F.coalesce("colour", F.when(F.coalesce("close", F.lit(False)) | (F.col("doc") == F.col("p")), F.col("p")))
-        members = store(members.join(close, ["p", "doc"], "left").select("node", "p", "doc", "n", colour.alias("colour")), "coloured")
-        left = members.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count("colour").alias("coloured"), F.min("colour").alias("c1"), F.max("colour").alias("c2")).where("not (coloured = m and c1 = c2)").select("node", "m")
-        members = store(members.join(left, "node"), "unsettled")
-        small = members if last else members.where(F.col("m") <= SMALL_NODE)
-        x, y = (small.select("node", "p", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "colour"))) for k in "xy")
-        todo = (F.col("doc_x") < F.col("doc_y")) & (F.col("doc_x") != F.coalesce("p", F.lit(-1))) & (F.col("doc_y") != F.coalesce("p", F.lit(-1)))
-        todo &= ~F.coalesce(F.col("colour_x") == F.col("colour_y"), F.lit(False)) & _sizes_fit(F.col("n_x"), F.col("n_y"), percent)
-        exhaustive = x.join(y.drop("p"), "node").where(todo).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
-        found.append(store(_agreeing(exhaustive, signed), "node-pairs"))
-        large = members.where(F.col("m") > SMALL_NODE)
-        if last or large.isEmpty():
-            break
-        rows = _branch(large.join(signed.select(F.col("rep").alias("doc"), "tokens"), "doc").select("node", "doc", "n", "colour", "tokens"), similarity, roots=False)
-    pairs = reduce(DataFrame.unionByName, found).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agreement").alias("agreement"))
-    return store(pairs, "candidates"), membership
-
-
-def _confirm(documents: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b, agreement, linked): the pairs with their verdict on full shingle sets."""
+def _sets(documents: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(doc, shingles) of the documents whose ids are in ``needed.doc_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,12 +144,104 @@ def _confirm(documents: DataFrame, pairs: DataFrame, percent: int, width: int) -
                 value, bound = shingle_sets(s, width)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.n), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(value.view(np.int64)))], ["doc", "shingles"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = store(documents.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(run, "doc bigint, shingles array<bigint>"), "shingle-sets")
+    # a merge join at every size: whether the ids would fit a broadcast changes with the input
+    return store(documents.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc bigint, shingles array<bigint>"), "shingle-sets")
+
+
+def _confirmed(documents: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """The (a, b) pairs whose full shingle sets are similar, or None if there are no pairs."""
+    pairs = store(pairs, "candidates")
+    if pairs.isEmpty():
+        return None
+    sets = _sets(documents, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
     x, y = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    linked = common * 100 >= (F.size("x") + F.size("y") - common) * percent
-    return store(pairs.join(x, "a").join(y, "b").select("a", "b", "agreement", linked.alias("linked")), "confirmed")
+    similar = common * 100 >= (F.size("x") + F.size("y") - common) * percent
+    out = store(pairs.join(x, "a").join(y, "b").where(similar).select("a", "b"), "links")
+    remove(pairs, sets)
+    return out
+
+
+def _prefix_pairs(documents: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b) pairs of ``docs`` (doc, colour) that may be similar: an exact prefix and position filter.
+
+    Shingles are ordered from rare to frequent.  Similar sets share a shingle so early
+    that what follows it in both suffices for the overlap they need.  Shingles of one
+    document only come first and match nothing, so that edited copies, whose own
+    shingles fill their prefixes, meet hardly anybody.
+    """
+    sets = _sets(documents, docs.select(F.col("doc").alias("doc_id")), width)
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.join(docs, "doc").repartition(parts).select("doc", "colour", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    ranked = rows.join(shared, "shingle").groupBy("doc", "colour", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    prefix = ranked.select("doc", "colour", "n", F.size("common").alias("k"), F.posexplode("common").alias("i", "c")).select("doc", "colour", "n", (F.col("k") - F.col("i")).alias("rest"), F.col("c.shingle").alias("shingle"))
+    prefix = store(prefix.where(F.col("rest") * 100 >= F.col("n") * percent), "prefixes")
+    remove(sets)
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "colour", "n", "rest"))) for k in "xy")
+    enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    enough &= _sizes_fit(F.col("n_x"), F.col("n_y"), percent) & (F.col("doc_x") != F.col("doc_y"))
+    plain = x.where("colour_x is null").join(y, "shingle").where(enough)
+    several = prefix.where("colour is not null").groupBy("shingle").agg(F.min("colour").alias("c1"), F.max("colour").alias("c2")).where("c1 < c2").select("shingle")
+    mixed = x.where("colour_x is not null").join(several, "shingle", "left_semi").join(y.where("colour_y is not null"), "shingle").where(enough & (F.col("colour_x") != F.col("colour_y")))
+    return plain.unionByName(mixed).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"))
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Nodes of (node, doc, n, colour) rows with members that aren't all of one colour: (node, m, p, pn), p a pivot without colour."""
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count("colour").alias("coloured"), F.min("colour").alias("c1"), F.max("colour").alias("c2"), F.min(F.when(F.col("colour").isNull(), F.struct("doc", "n"))).alias("pivot"))
+    return nodes.where("m >= 2 and not (coloured = m and c1 = c2)").select("node", "m", F.col("pivot.doc").alias("p"), F.col("pivot.n").alias("pn"))
+
+
+def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width: int) -> list[DataFrame]:
+    """Tables of (a, b) links that connect all similar classes."""
+    similarity = percent / 100
+    rows = store(_branch(signed.select(F.lit(0).cast("bigint").alias("node"), F.col("rep").alias("doc"), "n", F.lit(None).cast("bigint").alias("colour"), "tokens"), similarity, roots=True), "tree-nodes")
+    links, others = [], []
+    for level in range(DEPTH):
+        members = store(rows.join(_unsettled(rows).drop("m"), "node"), "members")
+        remove(rows)
+        stars = members.where((F.col("doc") != F.col("p")) & _sizes_fit(F.col("n"), F.col("pn"), percent)).select(F.col("p").alias("a"), F.col("doc").alias("b"))
+        found = _confirmed(documents, _agreeing(stars, signed), percent, width)
+        if found is not None:
+            links.append(found)
+            close = found.select(F.col("a").alias("p"), F.col("b").alias("doc"), F.lit(True).alias("close"))
+            colour = F.coalesce("colour", F.when(F.coalesce("close", F.lit(False)) | (F.col("doc") == F.col("p")), F.col("p")))
+            coloured = store(members.join(close, ["p", "doc"], "left").select("node", "p", "doc", "n", colour.alias("colour")), "coloured")
+            if level == 0:
+                # members that the pivot isn't linked with try one coloured member of each node, another one in each
+                probe = coloured.where("colour is not null").groupBy("node").agg(F.min(F.struct(F.xxhash64("doc", "node"), F.col("doc").alias("doc"), F.col("n").alias("n"))).alias("probe"))
+                tries = coloured.where("colour is null").join(probe, "node").where(_sizes_fit(F.col("n"), F.col("probe.n"), percent)).select(F.col("probe.doc").alias("a"), F.col("doc").alias("b"))
+                more = _confirmed(documents, _agreeing(tries, signed), percent, width)
+                links += [] if more is None else [more]
+                so_far = components(reduce(DataFrame.unionByName, links)).select(F.col("v").alias("doc"), F.col("component").alias("colour"))
+                plain = coloured
+                coloured = store(plain.drop("colour").join(so_far, "doc", "left").select("node", "p", "doc", "n", "colour"), "coloured")
+                remove(plain)
+            left = store(coloured.join(_unsettled(coloured).select("node", "m"), "node"), "unsettled")
+            remove(members, coloured)
+        else:
+            left = store(members.join(_unsettled(members).select("node", "m"), "node"), "unsettled")
+            remove(members)
+        small = left.where(F.col("m") <= SMALL_NODE)
+        x, y = (small.select("node", "p", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "colour"))) for k in "xy")
+        todo = (F.col("doc_x") < F.col("doc_y")) & ~F.coalesce((F.col("doc_x") == F.col("p")) | (F.col("doc_y") == F.col("p")), F.lit(False))
+        todo &= ~F.coalesce(F.col("colour_x") == F.col("colour_y"), F.lit(False)) & _sizes_fit(F.col("n_x"), F.col("n_y"), percent)
+        pairs = store(_agreeing(x.join(y.drop("p"), "node").where(todo).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")), signed), "node-pairs")
+        others.append(pairs)
+        large = left.where(F.col("m") > SMALL_NODE)
+        if large.isEmpty():
+            remove(left)
+            break
+        if level == DEPTH - 1:
+            docs = store(large.groupBy("doc").agg(F.max("colour").alias("colour")), "large-nodes")
+            remove(left)
+            others.append(store(_agreeing(_prefix_pairs(documents, docs, percent, width), signed), "prefix-pairs"))
+            break
+        rows = store(_branch(large.join(signed.select(F.col("rep").alias("doc"), "tokens"), "doc").select("node", "doc", "n", "colour", "tokens"), similarity, roots=False), "tree-nodes")
+        remove(left)
+    rest = _confirmed(documents, reduce(DataFrame.unionByName, others).distinct(), percent, width)
+    return links if rest is None else [*links, rest]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,19 +278,9 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, width: int = 5)
     # the low byte of each 32-bit token, as hex: every fourth pair of digits
     low = F.unhex(F.regexp_replace(F.hex("tokens"), "(..)......", "$1"))
     classes = store(rows.where(some).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")).withColumn("bytes", low), "classes")
-    pairs, membership = candidates(classes, percent)
-    confirmed = _confirm(documents, pairs, percent, width)
-    links = confirmed.where("linked").select("a", "b")
-    # members coloured by a pivot that they turn out not to be linked with: compare them with all of their nodes
-    failed = confirmed.where(F.col("agreement") >= COLOUR_AGREEMENT).where("not linked").select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    if not failed.isEmpty():
-        mine = membership.join(failed, "doc", "left_semi").withColumnRenamed("doc", "a")
-        again = mine.join(membership.withColumnRenamed("doc", "b"), "node").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        again = again.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(_confirm(documents, store(_agreeing(again, classes), "rechecked"), percent, width).where("linked").select("a", "b"))
-    found = components(links)
+    links = similar_pairs(documents, classes, percent, width)
+    found = components(reduce(DataFrame.unionByName, links) if links else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
     named = store(classes.select("n", "s1", "s2", "rep").join(found, F.col("rep") == F.col("v"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")), "class-components")
-    release(documents.sparkSession)
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.when(some, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
