@@ -13,8 +13,8 @@ an exact prefix-filter join, in which documents meet only in their rarest shingl
 Independent trees repeat this: with 24 trees a pair at the threshold is missed with a
 probability under 1e-6 in nodes of depth 2.
 
-Comparisons use the agreement of 64 minwise bytes first (at least 40 of 64: a pair at
-0.85 falls below with a probability of about 2e-6) and the full shingle sets last.
+Comparisons use the agreement of 64 minwise bytes first (up to five standard deviations
+below what a pair at the threshold has: 40 of 64 at 0.85) and the full shingle sets last.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ TREES = 24
 DEPTH = 3
 #: Nodes up to this size are compared exhaustively.
 SMALL_NODE = 64
-LEAST_AGREEMENT = 40
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -118,13 +117,20 @@ def _branch(rows: DataFrame, similarity: float, *, roots: bool) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, doc bigint, n bigint, colour bigint")
 
 
-def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b) of the distinct pairs with at least LEAST_AGREEMENT equal minwise bytes."""
+def least_agreement(percent: int) -> int:
+    """Equal minwise bytes that a pair at the threshold has, less five standard deviations."""
+    s = percent / 100
+    return int(TOKENS * s - 5 * (TOKENS * s * (1 - s)) ** 0.5)
+
+
+def _agreeing(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the distinct pairs with at least ``least_agreement`` equal minwise bytes."""
+    least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("x", "y"))
-            at = pa.array(np.flatnonzero((x == y).sum(1) >= LEAST_AGREEMENT))
+            at = pa.array(np.flatnonzero((x == y).sum(1) >= least))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
     x, y = signed.select(F.col("rep").alias("a"), F.col("bytes").alias("x")), signed.select(F.col("rep").alias("b"), F.col("bytes").alias("y"))
@@ -202,7 +208,7 @@ def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width:
         members = store(rows.join(_unsettled(rows).drop("m"), "node"), "members")
         remove(rows)
         stars = members.where((F.col("doc") != F.col("p")) & _sizes_fit(F.col("n"), F.col("pn"), percent)).select(F.col("p").alias("a"), F.col("doc").alias("b"))
-        found = _confirmed(documents, _agreeing(stars, signed), percent, width)
+        found = _confirmed(documents, _agreeing(stars, signed, percent), percent, width)
         if found is not None:
             links.append(found)
             close = found.select(F.col("a").alias("p"), F.col("b").alias("doc"), F.lit(True).alias("close"))
@@ -212,7 +218,7 @@ def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width:
                 # members that the pivot isn't linked with try one coloured member of each node, another one in each
                 probe = coloured.where("colour is not null").groupBy("node").agg(F.min(F.struct(F.xxhash64("doc", "node"), F.col("doc").alias("doc"), F.col("n").alias("n"))).alias("probe"))
                 tries = coloured.where("colour is null").join(probe, "node").where(_sizes_fit(F.col("n"), F.col("probe.n"), percent)).select(F.col("probe.doc").alias("a"), F.col("doc").alias("b"))
-                more = _confirmed(documents, _agreeing(tries, signed), percent, width)
+                more = _confirmed(documents, _agreeing(tries, signed, percent), percent, width)
                 links += [] if more is None else [more]
                 so_far = components(reduce(DataFrame.unionByName, links)).select(F.col("v").alias("doc"), F.col("component").alias("colour"))
                 plain = coloured
@@ -227,7 +233,7 @@ def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width:
         x, y = (small.select("node", "p", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "colour"))) for k in "xy")
         todo = (F.col("doc_x") < F.col("doc_y")) & ~F.coalesce((F.col("doc_x") == F.col("p")) | (F.col("doc_y") == F.col("p")), F.lit(False))
         todo &= ~F.coalesce(F.col("colour_x") == F.col("colour_y"), F.lit(False)) & _sizes_fit(F.col("n_x"), F.col("n_y"), percent)
-        pairs = store(_agreeing(x.join(y.drop("p"), "node").where(todo).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")), signed), "node-pairs")
+        pairs = store(_agreeing(x.join(y.drop("p"), "node").where(todo).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")), signed, percent), "node-pairs")
         others.append(pairs)
         large = left.where(F.col("m") > SMALL_NODE)
         if large.isEmpty():
@@ -236,7 +242,7 @@ def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width:
         if level == DEPTH - 1:
             docs = store(large.groupBy("doc").agg(F.max("colour").alias("colour")), "large-nodes")
             remove(left)
-            others.append(store(_agreeing(_prefix_pairs(documents, docs, percent, width), signed), "prefix-pairs"))
+            others.append(store(_agreeing(_prefix_pairs(documents, docs, percent, width), signed, percent), "prefix-pairs"))
             break
         rows = store(_branch(large.join(signed.select(F.col("rep").alias("doc"), "tokens"), "doc").select("node", "doc", "n", "colour", "tokens"), similarity, roots=False), "tree-nodes")
         remove(left)
