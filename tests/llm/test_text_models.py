@@ -1,0 +1,97 @@
+"""Statistics, trees, toxicity: brute force and held-out accuracy."""
+
+import collections
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from rillflow.llm import gbt, quality, rules, toxicity
+from rillflow.llm.queries import QUERIES
+from rillflow.llm.stats import BASE, FEATURES, text_stats
+from rillflow.llm.textarrays import slabs
+
+SF = "/root/testdata/sf0.01"
+TEXTS = [None, "", "   \n\t", "a", "a b", "a b c a b c", "é\x0bü x\n\nx\n x\nx", "#|<> !! A\u00a0b\x1cc", "w " * 5000, "x" * 3_000_000, "a b c d a b c d a b c", "one\ntwo\none\n\none"]
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    times = collections.Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if times[w] >= 2 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_base_counts():
+    got = []
+    for s in slabs(pa.array(TEXTS), 64):
+        base, x = text_stats(s)
+        got += list(zip(*(base[k].tolist() for k in BASE), strict=True))
+        assert x.shape == (s.n, len(FEATURES)) and np.isfinite(x).all()
+    assert got == [brute(t) for t in TEXTS]
+
+
+def test_trees_learn_and_obey_monotone_constraints():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] + 0.5 * np.sin(3 * x[:, 1]) + rng.normal(0, 0.3, 3000)) > 0).astype(float)
+    f = gbt.train(x, y, monotone={0: 1})
+    assert ((f.score(x) >= 0.5) == y).mean() > 0.9
+    grid = np.repeat(x[:50], 40, axis=0)
+    grid[:, 0] = np.tile(np.linspace(-3, 3, 40), 50)
+    assert (np.diff(f.margin(grid).reshape(50, 40), axis=1) >= -1e-9).all()
+    g = gbt.train(x, y, monotone={0: -1})
+    assert (np.diff(g.margin(grid).reshape(50, 40), axis=1) <= 1e-9).all()
+    assert gbt.train(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
+    assert (gbt.train(x, np.ones(3000)).score(x[:2]) > 0.99).all()
+
+
+def held_out(spark, query, label):
+    scores = QUERIES[query](spark, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", label)
+    return scores, scores.where("held_out").join(labels, "doc_id").select(label, "predicted").toPandas()
+
+
+def test_quality_on_the_held_out_fold(spark):
+    scores, fold = held_out(spark, "op1_quality_classifier", "quality")
+    assert scores.count() == 1000 and scores.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert (fold.quality == fold.predicted).mean() > 0.9
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    scores, fold = held_out(spark, "op9_toxicity", "toxic")
+    assert scores.count() == 1000
+    assert (fold.toxic == fold.predicted).mean() > 0.85
+
+
+def test_rules_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op4_quality_rules"](spark, SF).collect():
+        n = brute(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r.base_failed and r.kept)
+
+
+def test_odd_tables(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "a", None), (3, "a", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (None, 1, 1), (4, None, None), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    for scored in (quality.classify(docs, quality.fit(docs, labels)), toxicity.classify(docs, toxicity.fit(docs, labels))):
+        rows = scored.collect()
+        assert len(rows) == len(TEXTS) + 2 and all(0 <= r.score <= 1 for r in rows)
+    assert rules.quality_rules(docs, labels).count() == len(TEXTS) + 2
+    none, unlabelled = docs.limit(0), labels.limit(0)
+    assert quality.quality_scores(none, unlabelled).count() == rules.quality_rules(none, unlabelled).count() == toxicity.toxicity_scores(none, unlabelled).count() == 0
+
+
+def test_unseen_misspellings_share_n_grams():
+    toxic = ["you are an idiot here", "such an idioot said", "what idiott talk", "idiotic and idiot words"] * 8
+    clean = ["you are a friend here", "such a teacher said", "what pleasant talk", "kind and plain words"] * 8
+    rows = [(k, s) for _, k, s in toxicity.bags(pa.array(toxic + clean))]
+    model = toxicity.train(rows, np.array([1.0] * 32 + [0.0] * 32), errors=3.0)
+    a, b = toxicity.scores(pa.array(["an idiotx came", "a gardener came"]), model)
+    assert a > 0.5 > b
+    assert pytest.approx(toxicity.scores(pa.array([None, ""]), model)[0]) == toxicity.scores(pa.array([None, ""]), model)[1]
