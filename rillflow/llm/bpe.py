@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textarrays import give_back
+
 #: White space of the vocabulary's normaliser (the Unicode property White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -43,7 +45,7 @@ class Codec:
     the file's own split pattern.
     """
 
-    def __init__(self, vocabulary: str, *, cache_words: int = 200_000, cache_length: int = 64) -> None:
+    def __init__(self, vocabulary: str, *, cache_words: int = 80_000, cache_length: int = 64) -> None:
         spec = json.loads(vocabulary)
         model = spec["model"]
         ids: dict[str, int] = model["vocab"]
@@ -194,6 +196,7 @@ def _rows(column: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
             yield block
             block, n = [], 0
     yield block
+    give_back()
 
 
 def read_vocabulary(path: str) -> str:

@@ -7,13 +7,15 @@ the longest single text, never by the Arrow batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 512 << 10
 
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROLL_BASE = 0xD1342543DE82EF95
@@ -65,6 +67,13 @@ class Slab:
         return np.searchsorted(self.start, positions, side="right") - 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers are reused and would keep their largest batch's for good."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One contiguous large_string array (null texts stay null)."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,6 +99,7 @@ def slabs(column: pa.Array | pa.ChunkedArray, limit: int = SLAB_BYTES) -> Iterat
         j = min(max(j, i + 1), len(array))
         yield Slab(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
+    give_back()
 
 
 @dataclass
