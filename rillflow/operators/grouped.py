@@ -117,8 +117,9 @@ def batch(df: DataFrame, size: int | None, *, span: datetime.timedelta | None =
         raise ValueError("a batch needs a size or a duration")
     groups = list(keys)
     if span is not None:
-        first = df.groupBy(*keys).agg(F.min("timestamp").alias("_first"))
-        df = df.join(first, list(keys)) if keys else df.crossJoin(F.broadcast(first))  # one row
+        by = list(keys) or ["_one"]
+        df = df if keys else df.withColumn("_one", F.lit(0))
+        df = df.join(df.groupBy(*by).agg(F.min("timestamp").alias("_first")), by)
         df = df.withColumn("_span", F.expr(f"(unix_micros(timestamp) - unix_micros(_first)) div {round(span.total_seconds() * 1e6)}")).drop("_first")
         groups.append("_span")
     df = numbered(df, order, groups) if size is not None else df.withColumn("_n", F.lit(0))
