@@ -169,3 +169,33 @@ def test_decontamination_paraphrase_and_odd_rows(spark):
     assert all(not r["items"] for r in decontam.find_items(df, bench.limit(0)).collect())
     assert decontam.find_items(df.limit(0), bench).count() == 0
     assert decontam.common_subsequence({1: 0b1001, 2: 0b10, 3: 0b100}, 4, [1, 9, 3, 2, 1]) == 3
+
+
+def held_brute(text, item):
+    """Whether the words of a short text hold most of the item as a common subsequence; the rule by answer words is left out."""
+    masks = {}
+    for i, w in enumerate(item):
+        masks[w] = masks.get(w, 0) | 1 << i
+    return decontam.common_subsequence(masks, len(item), text) >= decontam.COPY_SHARE * len(item)
+
+
+def test_decontamination_recall_with_many_items(spark):
+    """2,000 items of a common vocabulary, each in a text of its own, verbatim or with a fifth of the words changed, against brute force."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(4000)])
+    odds = 1 / np.arange(20, 4020)
+    some = lambda n: rng.choice(vocabulary, n, p=odds / odds.sum()).tolist()
+    items = [some(int(rng.integers(15, 60))) for _ in range(2000)]
+    texts = []
+    for i, item in enumerate(items):
+        held = list(item)
+        if i % 2:
+            for k in rng.choice(len(item), len(item) // 5, replace=False):
+                held[k] = some(1)[0]
+        texts.append(some(int(rng.integers(0, 60))) + held + some(int(rng.integers(20, 60))))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, i) for r in decontam.find_items(docs, bench).collect() for i in r["items"]}
+    want = {(d, i) for d, t in enumerate(texts) for i in range(len(items)) if (i == d or len(set(items[i]) & set(t)) >= 0.5 * len(set(items[i]))) and held_brute(t, items[i])}
+    assert len(want) >= 2000 and len(want - got) <= 0.001 * len(want)
+    assert len(got - want) <= 0.02 * len(want)
