@@ -199,3 +199,21 @@ def test_decontamination_recall_with_many_items(spark):
     want = {(d, i) for d, t in enumerate(texts) for i in range(len(items)) if (i == d or len(set(items[i]) & set(t)) >= 0.5 * len(set(items[i]))) and held_brute(t, items[i])}
     assert len(want) >= 2000 and len(want - got) <= 0.001 * len(want)
     assert len(got - want) <= 0.02 * len(want)
+
+
+@pytest.mark.parametrize("m", [1, 2, 5, 8, 12, 13, 80, 81, 500])
+def test_decontamination_of_short_and_long_items(spark, m):
+    """Items of ``m`` words, verbatim and at any place of longer texts."""
+    rng = np.random.default_rng(m)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(4000)])
+    odds = 1 / np.arange(20, 4020)
+    some = lambda n: rng.choice(vocabulary, n, p=odds / odds.sum()).tolist()
+    items = [some(m) for _ in range(60)]
+    rows = []
+    for i in range(180):
+        t, p = some(400), int(rng.integers(401))
+        rows.append((i, " ".join(t[:p] + items[i % 60] + t[p:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.find_items(docs, bench).collect()}
+    assert [i for i in range(180) if i % 60 not in got[i]] == []
