@@ -27,6 +27,8 @@ DIMENSIONS = 8
 SIZES = (3, 4, 5)
 #: Bound of the labelled rows of each class that training sees.
 SAMPLE_ROWS = 1500
+#: Subwords that are kept below the bound of ``telling`` if fewer pass it.
+LEAST_TELLING = 50
 
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -82,7 +84,7 @@ def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def telling(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, errors: float) -> np.ndarray:
-    """Buckets that occur in both classes' documents at rates at least ``errors`` standard errors apart.
+    """Buckets that occur in both classes' documents at rates at least ``errors`` standard errors apart, or the strongest ones.
 
     Of some fifty thousand frequent subwords most say nothing about the class; without
     this screen their embeddings learn single training documents by heart.
@@ -92,7 +94,9 @@ def telling(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, errors: fl
     n, n1 = len(y), y.sum()
     share = np.clip(seen / n, 1e-9, 1 - 1e-9)
     apart = np.abs(toxic / n1 - (seen - toxic) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    return np.flatnonzero((apart >= errors) & (seen >= 3))
+    apart[seen < 3] = 0
+    # few rows reach the bound with hardly any subword: the strongest ones stay
+    return np.flatnonzero(apart >= min(errors, max(2.0, np.sort(apart)[-LEAST_TELLING])))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, epochs: int = 15, batch: int = 64, rate: float = 0.02, l2: float = 1e-3, errors: float = 5.0) -> Model:

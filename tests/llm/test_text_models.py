@@ -68,6 +68,14 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert (fold.toxic == fold.predicted).mean() > 0.85
 
 
+def test_toxicity_on_few_labelled_rows(spark):
+    small = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op9_toxicity"](spark, small).join(labels, "doc_id").toPandas()
+    toxic, clean = rows[rows.toxic == 1].score, rows[rows.toxic == 0].score
+    assert toxic.mean() > clean.mean() + 0.2
+
+
 def test_rules_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op4_quality_rules"](spark, SF).collect():
