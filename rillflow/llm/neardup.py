@@ -3,18 +3,24 @@
 Documents with equal shingle sets are one class and take part once.  Each class is
 embedded as ``TOKENS`` minwise tokens.  In every tree a node chooses each (position,
 token) with probability 1 / (similarity * TOKENS), by a hash of the node, so two
-classes at the wanted similarity go on to a common child in expectation once.  In each
-node all members are first compared with one pivot; members that agree with it are
-coloured by it and need no further comparison among each other, as they are connected
-through it; at the first level the others then try a coloured member of each of their
-nodes, and all connected so far is one colour.  What is left of small nodes is compared exhaustively and large nodes branch
-further.  No node is capped: what is left of large nodes at the last depth goes through
-an exact prefix-filter join, in which documents meet only in their rarest shingles.
+classes at the wanted similarity go on to a common child in expectation once.
+
+1. The first trees settle large groups: members of a node are compared with one pivot,
+   and what the links connect has one colour from then on.
+2. All trees branch.  Nodes of one colour are done.  Nodes of up to ``SMALL_NODE``
+   members are compared exhaustively, but for members of one colour; each is one row of
+   bounded size, and only pairs that agree become rows.  Larger nodes branch further.
+3. Nothing is capped: what is in large nodes at the last depth is coloured by all links so
+   far and goes through an exact prefix-filter join, in which documents meet only in their
+   rarest shingles.
+
 Independent trees repeat this: with 24 trees a pair at the threshold is missed with a
-probability under 1e-6 in nodes of depth 2.
+probability of 5e-7 where nodes of depth 2 settle it and of 2.6e-5 to 3.4e-5 where only
+depth 3 does.
 
 Comparisons use the agreement of 64 minwise bytes first (up to five standard deviations
 below what a pair at the threshold has: 40 of 64 at 0.85) and the full shingle sets last.
+Joins in which a third of the rows may have one key (nodes, pivots, components) are salted.
 """
 
 from __future__ import annotations
@@ -26,12 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from .joins import hot_keys, salted_join
 from .scratch import remove, store
 from .textarrays import LOWER, Slab, find_words, hash_words, mix64, slabs
 
 TOKENS = 64
 TREES = 24
+#: Of these, the first are used to connect large groups before anything else is compared.
+SETTLING_TREES = 8
 DEPTH = 3
 #: Nodes up to this size are compared exhaustively.
 SMALL_NODE = 64
@@ -96,9 +106,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def _branch(rows: DataFrame, similarity: float, *, roots: bool) -> DataFrame:
-    """Children of (node, doc, n, colour, tokens) rows: each chosen token leads to a node.  ``roots``: start TREES trees instead."""
+def _branch(rows: DataFrame, similarity: float, *, trees: range | None = None) -> DataFrame:
+    """Children of (node, doc, n, colour, tokens) rows: each chosen token leads to a node.  ``trees``: start these trees instead."""
     chosen_below = np.uint64(int((1 << 64) / (similarity * TOKENS)))
+    passed = [c for c in rows.columns if c not in ("node", "tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = np.arange(TOKENS, dtype=np.uint64) << np.uint64(32)
@@ -106,15 +117,15 @@ def _branch(rows: DataFrame, similarity: float, *, roots: bool) -> DataFrame:
             for i in range(0, whole.num_rows, 2000):
                 b = whole.slice(i, 2000)
                 token = mix64((column | _matrix(b.column("tokens"))) + _B)
-                nodes = [np.full(b.num_rows, mix64(np.array([k + 1], np.uint64) * _B)[0]) for k in range(TREES)] if roots else [b.column("node").to_numpy().view(np.uint64)]
+                nodes = [b.column("node").to_numpy().view(np.uint64)] if trees is None else [np.full(b.num_rows, mix64(np.array([k + 1], np.uint64) * _B)[0]) for k in trees]
                 for node in nodes:
                     draw = mix64(token ^ node[:, None])
                     row, j = np.nonzero(draw < chosen_below)
                     child = mix64(draw[row, j] + token[row, j] * _A)
                     at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(b.column(c).take(at) for c in ("doc", "n", "colour"))], ["node", "doc", "n", "colour"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(b.column(c).take(at) for c in passed)], ["node", *passed])
 
-    return rows.mapInArrow(run, "node bigint, doc bigint, n bigint, colour bigint")
+    return rows.mapInArrow(run, StructType([StructField("node", LongType()), *(rows.schema[c] for c in passed)]))
 
 
 def least_agreement(percent: int) -> int:
@@ -123,8 +134,8 @@ def least_agreement(percent: int) -> int:
     return int(TOKENS * s - 5 * (TOKENS * s * (1 - s)) ** 0.5)
 
 
-def _agreeing(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the distinct pairs with at least ``least_agreement`` equal minwise bytes."""
+def _agreeing(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the (a, x, b, y) pairs with at least ``least_agreement`` equal minwise bytes in x and y."""
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +144,40 @@ def _agreeing(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
             at = pa.array(np.flatnonzero((x == y).sum(1) >= least))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
-    x, y = signed.select(F.col("rep").alias("a"), F.col("bytes").alias("x")), signed.select(F.col("rep").alias("b"), F.col("bytes").alias("y"))
-    return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _agreeing_in_nodes(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the members of one small node that differ in colour and agree; all are compared, by node size in one array.
+
+    Only agreeing pairs become rows.  A node has at most ``SMALL_NODE`` members.
+    """
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("members")
+            items = lists.flatten()
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            begin = np.cumsum(size) - size
+            doc, n = (items.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            colour = items.field(2).fill_null(-1).to_numpy(zero_copy_only=False)
+            plain = items.field(2).is_null().to_numpy(zero_copy_only=False)
+            low = np.frombuffer(b"".join(items.field(3).to_pylist()), np.uint8).reshape(-1, TOKENS)
+            for m in np.unique(size):
+                i, j = np.triu_indices(m, 1)
+                nodes, step = begin[size == m], max(1, (4 << 20) // (len(i) * TOKENS))
+                for at in range(0, len(nodes), step):
+                    x, y = (nodes[at : at + step, None] + i).ravel(), (nodes[at : at + step, None] + j).ravel()
+                    fits = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+                    fits &= plain[x] | plain[y] | (colour[x] != colour[y])
+                    x, y = x[fits], y[fits]
+                    alike = (low[x] == low[y]).sum(1) >= least
+                    x, y = doc[x[alike]], doc[y[alike]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    grouped = members.groupBy("node").agg(F.collect_list(F.struct("doc", "n", "colour", "bytes")).alias("members"))
+    return grouped.select("members").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -163,13 +206,14 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, percent: int, width: int)
     x, y = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common * 100 >= (F.size("x") + F.size("y") - common) * percent
-    out = store(pairs.join(x, "a").join(y, "b").where(similar).select("a", "b"), "links")
+    both = salted_join(salted_join(pairs, x, "a", spread="b"), y, "b", spread="a", hot=hot_keys(pairs, "b"))
+    out = store(both.where(similar).select("a", "b"), "links")
     remove(pairs, sets)
     return out
 
 
-def _prefix_pairs(documents: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b) pairs of ``docs`` (doc, colour) that may be similar: an exact prefix and position filter.
+def _prefix_pairs(documents: DataFrame, docs: DataFrame, low: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b) pairs of ``docs`` (doc, colour) that agree and may be similar: an exact prefix and position filter.
 
     Shingles are ordered from rare to frequent.  Similar sets share a shingle so early
     that what follows it in both suffices for the overlap they need.  Shingles of one
@@ -182,71 +226,70 @@ def _prefix_pairs(documents: DataFrame, docs: DataFrame, percent: int, width: in
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     ranked = rows.join(shared, "shingle").groupBy("doc", "colour", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
     prefix = ranked.select("doc", "colour", "n", F.size("common").alias("k"), F.posexplode("common").alias("i", "c")).select("doc", "colour", "n", (F.col("k") - F.col("i")).alias("rest"), F.col("c.shingle").alias("shingle"))
-    prefix = store(prefix.where(F.col("rest") * 100 >= F.col("n") * percent), "prefixes")
+    prefix = store(prefix.where(F.col("rest") * 100 >= F.col("n") * percent).join(low, "doc"), "prefixes")
     remove(sets)
-    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "colour", "n", "rest"))) for k in "xy")
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "colour", "n", "rest", "bytes"))) for k in "xy")
     enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     enough &= _sizes_fit(F.col("n_x"), F.col("n_y"), percent) & (F.col("doc_x") != F.col("doc_y"))
     plain = x.where("colour_x is null").join(y, "shingle").where(enough)
     several = prefix.where("colour is not null").groupBy("shingle").agg(F.min("colour").alias("c1"), F.max("colour").alias("c2")).where("c1 < c2").select("shingle")
     mixed = x.where("colour_x is not null").join(several, "shingle", "left_semi").join(y.where("colour_y is not null"), "shingle").where(enough & (F.col("colour_x") != F.col("colour_y")))
-    return plain.unionByName(mixed).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"))
+    pairs = plain.unionByName(mixed).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"), F.col("bytes_x").alias("x"), F.col("bytes_y").alias("y"))
+    return _agreeing(pairs, percent).distinct()
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
-    """Nodes of (node, doc, n, colour) rows with members that aren't all of one colour: (node, m, p, pn), p a pivot without colour."""
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count("colour").alias("coloured"), F.min("colour").alias("c1"), F.max("colour").alias("c2"), F.min(F.when(F.col("colour").isNull(), F.struct("doc", "n"))).alias("pivot"))
-    return nodes.where("m >= 2 and not (coloured = m and c1 = c2)").select("node", "m", F.col("pivot.doc").alias("p"), F.col("pivot.n").alias("pn"))
+    """(node, m) of the nodes of (node, doc, n, colour) rows whose m members aren't all of one colour."""
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count("colour").alias("coloured"), F.min("colour").alias("c1"), F.max("colour").alias("c2"))
+    return nodes.where("m >= 2 and not (coloured = m and c1 = c2)").select("node", "m")
+
+
+def settle(documents: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """Links of the members of the first trees' nodes with a pivot of each: large groups of copies are connected by them."""
+    rows = store(_branch(signed.select(F.col("rep").alias("doc"), "n", "bytes", "tokens"), percent / 100, trees=range(SETTLING_TREES)), "settling-nodes")
+    pivot = F.min(F.struct("doc", "n", "bytes")).alias("pivot")
+    nodes = store(rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), pivot).where("m >= 2").drop("m"), "pivots")
+    stars = salted_join(rows, nodes, "node", spread="doc").where((F.col("doc") != F.col("pivot.doc")) & _sizes_fit(F.col("n"), F.col("pivot.n"), percent))
+    pairs = stars.select(F.col("pivot.doc").alias("a"), F.col("pivot.bytes").alias("x"), F.col("doc").alias("b"), F.col("bytes").alias("y"))
+    links = _confirmed(documents, _agreeing(pairs, percent).distinct(), percent, width)
+    remove(rows, nodes)
+    return links
+
+
+def _coloured(docs: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """``docs`` with ``colour``, the component that the links so far put each ``doc`` in (null: none)."""
+    if not links:
+        return docs.withColumn("colour", F.lit(None).cast("bigint"))
+    found = components(reduce(DataFrame.unionByName, links))
+    return docs.join(found.select(F.col("v").alias("doc"), F.col("component").alias("colour")), "doc", "left")
 
 
 def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width: int) -> list[DataFrame]:
     """Tables of (a, b) links that connect all similar classes."""
     similarity = percent / 100
-    rows = store(_branch(signed.select(F.lit(0).cast("bigint").alias("node"), F.col("rep").alias("doc"), "n", F.lit(None).cast("bigint").alias("colour"), "tokens"), similarity, roots=True), "tree-nodes")
-    links, others = [], []
+    links = [x for x in (settle(documents, signed, percent, width),) if x is not None]
+    rows = store(_branch(_coloured(signed.select(F.col("rep").alias("doc"), "n", "tokens"), links), similarity, trees=range(TREES)), "tree-nodes")
+    low, tokens = (signed.select(F.col("rep").alias("doc"), c) for c in ("bytes", "tokens"))
+    found = []
     for level in range(DEPTH):
-        members = store(rows.join(_unsettled(rows).drop("m"), "node"), "members")
-        remove(rows)
-        stars = members.where((F.col("doc") != F.col("p")) & _sizes_fit(F.col("n"), F.col("pn"), percent)).select(F.col("p").alias("a"), F.col("doc").alias("b"))
-        found = _confirmed(documents, _agreeing(stars, signed, percent), percent, width)
-        if found is not None:
-            links.append(found)
-            close = found.select(F.col("a").alias("p"), F.col("b").alias("doc"), F.lit(True).alias("close"))
-            colour = F.coalesce("colour", F.when(F.coalesce("close", F.lit(False)) | (F.col("doc") == F.col("p")), F.col("p")))
-            coloured = store(members.join(close, ["p", "doc"], "left").select("node", "p", "doc", "n", colour.alias("colour")), "coloured")
-            if level == 0:
-                # members that the pivot isn't linked with try one coloured member of each node, another one in each
-                probe = coloured.where("colour is not null").groupBy("node").agg(F.min(F.struct(F.xxhash64("doc", "node"), F.col("doc").alias("doc"), F.col("n").alias("n"))).alias("probe"))
-                tries = coloured.where("colour is null").join(probe, "node").where(_sizes_fit(F.col("n"), F.col("probe.n"), percent)).select(F.col("probe.doc").alias("a"), F.col("doc").alias("b"))
-                more = _confirmed(documents, _agreeing(tries, signed, percent), percent, width)
-                links += [] if more is None else [more]
-                so_far = components(reduce(DataFrame.unionByName, links)).select(F.col("v").alias("doc"), F.col("component").alias("colour"))
-                plain = coloured
-                coloured = store(plain.drop("colour").join(so_far, "doc", "left").select("node", "p", "doc", "n", "colour"), "coloured")
-                remove(plain)
-            left = store(coloured.join(_unsettled(coloured).select("node", "m"), "node"), "unsettled")
-            remove(members, coloured)
-        else:
-            left = store(members.join(_unsettled(members).select("node", "m"), "node"), "unsettled")
-            remove(members)
-        small = left.where(F.col("m") <= SMALL_NODE)
-        x, y = (small.select("node", "p", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "colour"))) for k in "xy")
-        todo = (F.col("doc_x") < F.col("doc_y")) & ~F.coalesce((F.col("doc_x") == F.col("p")) | (F.col("doc_y") == F.col("p")), F.lit(False))
-        todo &= ~F.coalesce(F.col("colour_x") == F.col("colour_y"), F.lit(False)) & _sizes_fit(F.col("n_x"), F.col("n_y"), percent)
-        pairs = store(_agreeing(x.join(y.drop("p"), "node").where(todo).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")), signed, percent), "node-pairs")
-        others.append(pairs)
+        nodes = store(_unsettled(rows), "unsettled-nodes")
+        left = store(salted_join(rows, nodes, "node", spread="doc"), "unsettled")
+        remove(rows, nodes)
+        found.append(store(_agreeing_in_nodes(left.where(F.col("m") <= SMALL_NODE).join(low, "doc"), percent), "node-pairs"))
         large = left.where(F.col("m") > SMALL_NODE)
         if large.isEmpty():
             remove(left)
             break
         if level == DEPTH - 1:
-            docs = store(large.groupBy("doc").agg(F.max("colour").alias("colour")), "large-nodes")
+            more = _confirmed(documents, reduce(DataFrame.unionByName, found).distinct(), percent, width)
+            links += [] if more is None else [more]
+            docs = store(_coloured(large.select("doc").distinct(), links), "large-nodes")
             remove(left)
-            others.append(store(_agreeing(_prefix_pairs(documents, docs, percent, width), signed, percent), "prefix-pairs"))
+            found = [_prefix_pairs(documents, docs, low, percent, width)]
             break
-        rows = store(_branch(large.join(signed.select(F.col("rep").alias("doc"), "tokens"), "doc").select("node", "doc", "n", "colour", "tokens"), similarity, roots=False), "tree-nodes")
+        rows = store(_branch(large.join(tokens, "doc").select("node", "doc", "n", "colour", "tokens"), similarity), "tree-nodes")
         remove(left)
-    rest = _confirmed(documents, reduce(DataFrame.unionByName, others).distinct(), percent, width)
+    rest = _confirmed(documents, reduce(DataFrame.unionByName, found).distinct(), percent, width)
     return links if rest is None else [*links, rest]
 
 
@@ -255,15 +298,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Smallest labels travel along links and are then looked up in themselves, which
     halves the way to go each round.  Labels are written to the shared folder each
-    round and never leave the executors.
+    round and never leave the executors; ends with many links and large components are
+    salted.
     """
     edges = store(links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "links")
     label = store(edges.groupBy("v").agg(F.least(F.first("v"), F.min("w")).alias("component")), "labels")
+    hubs = hot_keys(edges, "w")
     while True:
-        near = edges.join(label.select(F.col("v").alias("w"), F.col("component").alias("other")), "w").groupBy("v").agg(F.min("other").alias("other"))
+        near = salted_join(edges, label.select(F.col("v").alias("w"), F.col("component").alias("other")), "w", spread="v", hot=hubs).groupBy("v").agg(F.min("other").alias("other"))
         spread = label.join(near, "v").select("v", F.least("component", "other").alias("component"), F.col("component").alias("old"))
         up = label.select(F.col("v").alias("component"), F.col("component").alias("root"))
-        fresh = store(spread.join(up, "component", "left").select("v", F.least("component", "root").alias("component"), "old"), "labels")
+        spread = salted_join(spread, up, "component", spread="v", hot=hot_keys(label, "component"))
+        fresh = store(spread.select("v", F.least("component", "root").alias("component"), "old"), "labels")
         changed = not fresh.where("component < old").isEmpty()
         label = fresh.drop("old")
         if not changed:
@@ -276,8 +322,10 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, width: int = 5)
     Rows are linked if 100 * common shingles >= percent * distinct shingles of both.
     ``component_id`` is the smallest doc_id reachable over links, ``kept`` marks that
     document itself.  A null or empty text, or one of white space, has no shingles and
-    is linked with nothing.  Repeated rows are linked with each other; a row without
-    an id is its own component (null) and is kept.  An empty table gives an empty result.
+    is linked with nothing.  Whole texts count at any length.  Repeated rows are linked
+    with each other; two different texts under one id are one node of the links; a row
+    without an id is its own component (null) and is kept.  Other columns, also such with
+    the names of the result's, are left out.  An empty table gives an empty result.
     """
     rows = store(_sign(documents, width), "signatures")
     some = F.col("doc_id").isNotNull() & (F.col("n") > 0)

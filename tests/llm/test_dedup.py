@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from rillflow.llm import decontam, linededup, neardup, suffix
+from rillflow.llm import decontam, joins, linededup, neardup, suffix
 from rillflow.llm.queries import ORACLE_SQL, QUERIES
 
 from ..oracle import same
@@ -79,6 +79,48 @@ def test_near_duplicates_on_the_query(spark):
     assert got == groups_brute(docs, 3, 85)
 
 
+@pytest.mark.parametrize(("percent", "width"), [(85, 3), (80, 5)])
+def test_near_duplicates_on_documents(spark, percent, width):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted(map(tuple, neardup.near_duplicates(docs, percent=percent, width=width).collect()))
+    assert got == groups_brute([(r.doc_id, r.text) for r in docs.collect()], width, percent)
+
+
+def test_near_duplicates_of_borderline_copies(spark, monkeypatch):
+    """Copies of one text with a tenth of the words changed, most of which are just not similar, with salted joins."""
+    monkeypatch.setattr(joins, "LEAST_ROWS", 20)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    docs = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(120)] = word()
+        docs.append((i, " ".join(w)))
+    docs += [(500 + i, docs[7][1]) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, neardup.near_duplicates(df).collect())) == groups_brute(docs, 5, 80)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(long[:290_000])), (3, " ".join(long[:200_000])), (4, "x" * 2_000_000), (5, "x" * 2_000_000), (6, "short text")]
+    df = spark.createDataFrame([(*d, True) for d in docs], "doc_id long, text string, kept boolean")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)]
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LEAST_ROWS", 5)
+    left = spark.createDataFrame([(k, i) for k in range(4) for i in range([1, 5, 6, 90][k])], "k long, v long")
+    right = spark.createDataFrame([(k, k * 10) for k in range(1, 5)], "k long, w long")
+    assert sorted(r.k for r in joins.hot_keys(left, "k").collect()) == [2, 3]
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, joins.salted_join(left, right, "k", spread="v").collect())) == want
+
+
 def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     """A hot passage, a large group of edited copies and chains, with nodes small enough to use every way of comparing."""
     monkeypatch.setattr(neardup, "SMALL_NODE", 3)
