@@ -41,7 +41,10 @@ class SchemaRegistry:
 
 
 def parse_json(value: Column, schema: T.StructType) -> tuple[Column, Column]:
-    """(payload, error) of JSON bytes or text: malformed input, wrong types and missing required fields are errors."""
+    """(payload, error) of JSON bytes or text: malformed input, wrong types and missing required fields are errors.
+
+    The error quotes the first 200 characters; dead letters hold the raw bytes whole.
+    """
     text = value.cast("string")
     loose = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in schema), T.StructField(_CORRUPT, T.StringType())])
     parsed = F.from_json(text, loose, {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"})
@@ -59,15 +62,22 @@ def to_json(payload: Column, dt_format: str | None = None) -> Column:
     return F.to_json(payload, options).cast("binary")
 
 
-def dumps(value: Any, dt_format: str | None = None) -> bytes:
-    """Python's own JSON text, byte for byte; times by strftime or in ISO form, other types are refused."""
+class _Times(json.JSONEncoder):
+    """Times by a strftime pattern, or in ISO form without one."""
+
+    pattern: str | None = None
 
-    def other(x: Any) -> str:
-        if isinstance(x, datetime.datetime):
-            return x.strftime(dt_format) if dt_format else x.isoformat()
-        raise TypeError(f"{type(x).__name__} can't be serialised")
+    def default(self, o: Any) -> Any:
+        if not isinstance(o, datetime.datetime):
+            return super().default(o)
+        return o.isoformat() if self.pattern is None else o.strftime(self.pattern)
 
-    return json.dumps(value, default=other).encode()
+
+def dumps(value: Any, dt_format: str | None = None) -> bytes:
+    """Python's own JSON text, byte for byte; values that aren't JSON or times raise a TypeError."""
+    encoder = _Times()
+    encoder.pattern = dt_format or None
+    return encoder.encode(value).encode()
 
 
 def check_compression(name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import time
 from abc import ABC, abstractmethod
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from pathlib import Path
 from typing import Any
 
@@ -87,12 +87,35 @@ def backend(config: Mapping[str, Any] | None) -> Metrics:
     return DummyMetrics()
 
 
-def counted(df: DataFrame, step: str) -> tuple[DataFrame, Observation | None]:
+def counted(df: DataFrame, step: str, metric: str = "input.messages") -> tuple[DataFrame, Observation | None]:
     """``df`` with its rows counted as they pass; on a stream the count arrives with the query's progress."""
+    name = f"{metric}:{step}"
     if df.isStreaming:
-        return df.observe(f"step:{step}", F.count(F.lit(1)).alias("input_messages")), None
-    seen = Observation(f"step:{step}")
-    return df.observe(seen, F.count(F.lit(1)).alias("input_messages")), seen
+        return df.observe(name, F.count(F.lit(1)).alias("n")), None
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def _observed(seen: Observation, wait: float = 5.0) -> dict[str, Any] | None:
+    """An observation's values, which follow its first action by a moment; None if there was none, where ``get`` would wait for ever."""
+    until = time.monotonic() + wait
+    while not seen._jo.future().isCompleted():
+        if time.monotonic() > until:
+            return None
+        time.sleep(0.05)
+    return seen.get
+
+
+def report(metrics: Metrics, counts: Iterable[tuple[str, str, Observation]], seconds: float | None = None) -> None:
+    """What the steps of a written plan have read and refused, and how long it took.
+
+    A step that no sink has run has counted nothing and is left out.
+    """
+    for metric, step, seen in counts:
+        if (found := _observed(seen)) is not None:
+            metrics.increment(f"pipeline.step.{metric}", found["n"], {"step": step})
+    if seconds is not None:
+        metrics.timing("pipeline.duration", seconds)
 
 
 class ProgressListener(StreamingQueryListener):
@@ -108,7 +131,8 @@ class ProgressListener(StreamingQueryListener):
         self.metrics.increment("pipeline.input.messages", progress.numInputRows)
         self.metrics.timing("pipeline.duration", (progress.batchDuration or 0) / 1000)
         for name, row in (progress.observedMetrics or {}).items():
-            self.metrics.increment("pipeline.step.input.messages", row["input_messages"], {"step": name.removeprefix("step:")})
+            metric, _, step = name.partition(":")
+            self.metrics.increment(f"pipeline.step.{metric}", row["n"], {"step": step})
         if self.health_file:
             Path(self.health_file).touch()
 

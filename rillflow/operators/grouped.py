@@ -1,8 +1,8 @@
 """Operators over many messages of bounded inputs: batches, windows and reductions.
 
-Count windows follow an order column (the offset).  Numbering is two-level (counts of
-offset ranges, then ranks inside a range), so a stream without keys doesn't have to
-pass through one task.
+Count windows follow (source partition, offset), as offsets repeat across partitions.
+Numbering is two-level (counts of offset ranges, then ranks inside a range), so a
+stream without keys doesn't have to pass through one task.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.message import _plain
+from ..functions.message import _plain, call
 
+#: The order of messages: columns, the last of them a bigint.
+ORDER = ("src_partition", "src_offset")
 #: Offsets in one numbering range.
 RANGE_ROWS = 1 << 20
 #: Accumulators that a task holds before it passes partial ones on.
@@ -46,12 +48,25 @@ class KVAccumulator(Accumulator):
 
 
 class GroupBy(ABC):
-    """Gives the key of a payload."""
+    """Gives the key of a payload; ``returns`` is the key's type, ``name`` its column."""
+
+    returns: T.DataType | str = "string"
+    name = "group_key"
 
     @abstractmethod
     def get_group_by_key(self, payload: Any) -> Any: ...
 
 
+def keyed(df: DataFrame, group_by: GroupBy | Mapping[str, Column] | None) -> tuple[DataFrame, list[str]]:
+    """``df`` with its key columns, and their names."""
+    if group_by is None:
+        return df, []
+    if isinstance(group_by, GroupBy):
+        key = call(lambda m: group_by.get_group_by_key(m.payload), group_by.returns, catch=False)
+        return df.withColumn(group_by.name, key["value"]), [group_by.name]
+    return df.withColumns(dict(group_by)), list(group_by)
+
+
 @dataclass(frozen=True)
 class TumblingWindow:
     """Windows of ``window_size`` messages, or of ``window_timedelta`` of event time."""
@@ -87,49 +102,95 @@ class SlidingWindow:
             raise ValueError("the size must be a multiple of the slide")
 
 
+@dataclass(frozen=True)
+class SessionWindow:
+    """Windows of event time that end after ``gap`` without a message of the key."""
+
+    gap: datetime.timedelta
+
+    def check(self) -> None:
+        if self.gap <= datetime.timedelta(0):
+            raise ValueError("the gap must be positive")
+
+
+def sessions(df: DataFrame, window: SessionWindow, aggregate: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
+    """Sessions by key, aggregated by column expressions; on a stream ``df`` has a watermark."""
+    if callable(aggregate):
+        raise ValueError("session windows take column aggregates, as sessions merge while they grow")
+    w = F.session_window("timestamp", interval(window.gap))
+    out = df.groupBy(*keys, w.alias("_w")).agg(*(c.alias(f"_a_{n}") for n, c in aggregate.items()))
+    return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), F.struct(*(F.col(f"_a_{n}").alias(n) for n in aggregate)).alias("payload"))
+
+
+def utc(origin: datetime.datetime) -> datetime.datetime:
+    """An origin without a zone is taken for UTC, on tables and streams alike."""
+    return origin if origin.tzinfo else origin.replace(tzinfo=datetime.timezone.utc)
+
+
+def offset_of(origin: datetime.datetime | None, slide: datetime.timedelta) -> datetime.timedelta:
+    """How far windows are shifted from multiples of the slide since the epoch."""
+    if origin is None:
+        return datetime.timedelta(0)
+    return (utc(origin) - datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)) % slide
+
+
 def interval(x: datetime.timedelta) -> str:
     return f"{round(x.total_seconds() * 1_000_000)} microseconds"
 
 
-def numbered(df: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``df`` with ``_n``: 0, 1, ... in the order of a bigint column, for each key."""
-    if order not in df.columns:
-        raise ValueError(f"count windows need an order column, and there is no {order!r}")
-    ranged = df.withColumn("_range", F.expr(f"{order} div {RANGE_ROWS}"))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_count"))
-    before = F.sum("_count").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
-    same = F.col("_range").eqNullSafe(F.col("_r"))
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+def numbered(df: DataFrame, order: str | Sequence[str] = ORDER, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``_n``: 0, 1, ... in the order of the columns, the last a bigint, for each key."""
+    order = [order] if isinstance(order, str) else list(order)
+    for c in order:
+        if c not in df.columns:
+            raise ValueError(f"count windows need an order column, and there is no {c!r}")
+    *first, last = order
+    # the columns before the offset, and the offset's range
+    ranged = df.withColumns({f"_f{i}": F.col(c) for i, c in enumerate(first)} | {"_range": F.expr(f"{last} div {RANGE_ROWS}")})
+    by = [*(f"_f{i}" for i in range(len(first))), "_range"]
+    counts = ranged.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    named = {k: f"_k{i}" for i, k in enumerate([*keys, *by])}
+    starts = counts.select(*(F.col(k).alias(n) for k, n in named.items()), F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.lit(True)
+    for k, n in named.items():
+        same &= F.col(k).eqNullSafe(F.col(n))
+    rank = F.row_number().over(Window.partitionBy(*keys, *by).orderBy(last))
     return ranged.join(starts, same).withColumn("_n", F.col("_start") + rank - 1).select(*df.columns, "_n")
 
 
-def batch(df: DataFrame, size: int | None, *, span: datetime.timedelta | None = None, keys: Sequence[str] = (), order: str = "src_offset") -> DataFrame:
+def batch(df: DataFrame, size: int | None, *, span: datetime.timedelta | None = None, keys: Sequence[str] = (), order: str | Sequence[str] = ORDER) -> DataFrame:
     """Batches of ``size`` payloads in order; the last may be smaller (a bounded input is flushed at its end).
 
     With ``span`` batches are also cut at multiples of it from the key's first message
     time.  One row each: keys, batch number, payload array, time of the last message,
-    schema and smallest offset of the batch.
+    schema, source partition and offset of the batch's first message.
     """
     if size is None and span is None:
         raise ValueError("a batch needs a size or a duration")
+    order = [order] if isinstance(order, str) else list(order)
     groups = list(keys)
     if span is not None:
-        by = list(keys) or ["_one"]
-        df = df if keys else df.withColumn("_one", F.lit(0))
-        df = df.join(df.groupBy(*by).agg(F.min("timestamp").alias("_first")), by)
+        if keys:
+            first = df.groupBy(*(F.col(k).alias(f"_s{i}") for i, k in enumerate(keys))).agg(F.min("timestamp").alias("_first"))
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same &= F.col(k).eqNullSafe(F.col(f"_s{i}"))
+            df = df.join(first, same).drop(*(f"_s{i}" for i in range(len(keys))))
+        else:
+            df = df.withColumn("_first", df.agg(F.min("timestamp")).scalar())
         df = df.withColumn("_span", F.expr(f"(unix_micros(timestamp) - unix_micros(_first)) div {round(span.total_seconds() * 1e6)}")).drop("_first")
         groups.append("_span")
     df = numbered(df, order, groups) if size is not None else df.withColumn("_n", F.lit(0))
     df = df.withColumn("_batch", F.expr(f"_n div {size or 1}"))
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("payload").alias("p"))))
-    out = df.groupBy(*groups, "_batch").agg(items.alias("_items"), F.max("timestamp").alias("timestamp"), F.min_by("schema", order).alias("schema"), F.min(order).alias("src_offset"))
-    return out.select(*keys, F.transform("_items", lambda i: i["p"]).alias("payload"), "timestamp", "schema", "src_offset")
+    place = F.struct(*order)
+    items = F.sort_array(F.collect_list(F.struct(place.alias("o"), F.col("payload").alias("p"))))
+    firsts = [F.min_by(c, place).alias(c) for c in ("schema", *order)]
+    out = df.groupBy(*groups, "_batch").agg(items.alias("_items"), F.max("timestamp").alias("timestamp"), *firsts)
+    return out.select(*keys, F.transform("_items", lambda i: i["p"]).alias("payload"), "timestamp", "schema", *order)
 
 
-def windowed(df: DataFrame, window: TumblingWindow | SlidingWindow, *, keys: Sequence[str] = (), order: str = "src_offset", origin: datetime.datetime | None = None) -> tuple[DataFrame, list[str]]:
+def windowed(df: DataFrame, window: TumblingWindow | SlidingWindow, *, keys: Sequence[str] = (), order: str | Sequence[str] = ORDER, origin: datetime.datetime | None = None) -> tuple[DataFrame, list[str]]:
     """``df`` with its window columns, and their names.
 
     Event-time windows give ``window_start`` and ``window_end``; they start at multiples
@@ -144,13 +205,9 @@ def windowed(df: DataFrame, window: TumblingWindow | SlidingWindow, *, keys: Seq
         out = numbered(df, order, keys).withColumn("window_number", F.expr(f"_n div {window.window_size}")).drop("_n")
         return out, [k for k in ("window_start", "window_end") if k in keys] + ["window_number"]
     size, slide = (window.window_timedelta, window.window_timedelta) if isinstance(window, TumblingWindow) else (window.window_size, window.window_slide)
-    start = datetime.timedelta(0)
+    out = df.withColumn("_w", F.window("timestamp", interval(size), interval(slide), interval(offset_of(origin, slide))))
     if origin is not None:
-        utc = origin if origin.tzinfo else origin.replace(tzinfo=datetime.timezone.utc)
-        start = (utc - datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)) % slide
-    out = df.withColumn("_w", F.window("timestamp", interval(size), interval(slide), interval(start)))
-    if origin is not None:
-        out = out.where(F.col("_w.start") >= F.lit(utc))
+        out = out.where(F.col("_w.start") >= F.lit(utc(origin)))
     return out.withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w"), ["window_start", "window_end"]
 
 
@@ -208,12 +265,12 @@ def _from_arrow(value: Any) -> Any:
 
 def reduce_messages(
     df: DataFrame,
-    window: TumblingWindow | SlidingWindow,
+    window: TumblingWindow | SlidingWindow | SessionWindow,
     aggregate: Mapping[str, Column] | Callable[[], Accumulator],
     *,
     returns: T.DataType | str = "string",
-    group_by: Mapping[str, Column] | None = None,
-    order: str = "src_offset",
+    group_by: GroupBy | Mapping[str, Column] | None = None,
+    order: str | Sequence[str] = ORDER,
     origin: datetime.datetime | None = None,
 ) -> DataFrame:
     """Windows by key, aggregated by column expressions or an Accumulator.
@@ -221,9 +278,10 @@ def reduce_messages(
     Columns: the keys, the window's columns and ``payload`` (a struct of the named
     aggregates, or the accumulator's value).  Empty windows are never given.
     """
-    keys = list(group_by or {})
-    if group_by:
-        df = df.withColumns(dict(group_by))
+    window.check()
+    df, keys = keyed(df, group_by)
+    if isinstance(window, SessionWindow):
+        return sessions(df, window, aggregate, keys)
     df, names = windowed(df, window, keys=keys, order=order, origin=origin)
     groups = [*keys, *names]
     if callable(aggregate):

@@ -25,26 +25,31 @@ def split_errors(df: DataFrame, error: str = "_error") -> Result:
     return df.where(F.col(error).isNull()).drop(error), df.where(F.col(error).isNotNull()).withColumnRenamed(error, "error")
 
 
-def _called(df: DataFrame, function: Callable | str, returns: T.DataType | str, catch: bool) -> DataFrame:
-    return df.withColumn("_out", call(function, returns, catch=catch)).withColumn("_error", F.col("_out.error"))
+Keep = Callable[[DataFrame], DataFrame]
 
 
-def map_messages(df: DataFrame, function: Column | Callable | str, returns: T.DataType | str = "string", *, catch: bool = False, drop_headers: bool = False) -> Result:
+def _called(df: DataFrame, function: Callable | str, returns: T.DataType | str, catch: bool, keep: Keep | None) -> DataFrame:
+    """``keep`` holds the results where both sides of a split are read, so that a callable runs once for both."""
+    out = df.withColumn("_out", call(function, returns, catch=catch)).withColumn("_error", F.col("_out.error"))
+    return keep(out) if keep and catch else out
+
+
+def map_messages(df: DataFrame, function: Column | Callable | str, returns: T.DataType | str = "string", *, catch: bool = False, drop_headers: bool = False, keep: Keep | None = None) -> Result:
     """1:1.  Time and schema stay; headers too, unless ``drop_headers``."""
     headers = F.array().cast(HEADERS) if drop_headers else F.col("headers")
     if isinstance(function, Column):
         return df.withColumns({"payload": function, "headers": headers}), None
-    out = _called(df, function, returns, catch)
+    out = _called(df, function, returns, catch, keep)
     good, bad = split_errors(out) if catch else (out.drop("_error"), None)
     good = good.withColumns({"payload": F.col("_out.value"), "headers": headers}).drop("_out")
     return good, None if bad is None else bad.drop("_out")
 
 
-def filter_messages(df: DataFrame, function: Column | Callable | str, *, catch: bool = False) -> Result:
+def filter_messages(df: DataFrame, function: Column | Callable | str, *, catch: bool = False, keep: Keep | None = None) -> Result:
     """Keeps messages for which the condition is true; null and false drop them."""
     if isinstance(function, Column):
         return df.where(function), None
-    out = _called(df, function, "boolean", catch)
+    out = _called(df, function, "boolean", catch, keep)
     good, bad = split_errors(out) if catch else (out.drop("_error"), None)
     return good.where("_out.value").drop("_out"), None if bad is None else bad.drop("_out")
 
@@ -73,13 +78,13 @@ def filter_header_bytes(df: DataFrame, name: str, value: bytes) -> DataFrame:
     return df.where(F.exists("headers", lambda h: (h["key"] == name) & (h["value"] == F.lit(value))))
 
 
-def flat_map(df: DataFrame, function: Column | Callable | str, returns: T.DataType | str = "string", *, catch: bool = False) -> Result:
+def flat_map(df: DataFrame, function: Column | Callable | str, returns: T.DataType | str = "string", *, catch: bool = False, keep: Keep | None = None) -> Result:
     """1:0..N: an array column, or a callable that returns an iterable; null and empty give no message."""
     if isinstance(function, Column):
         return df.withColumn("payload", F.explode(function)), None
     kind = T.ArrayType(T._parse_datatype_string(returns) if isinstance(returns, str) else returns)
     inner = resolve(function)
-    out = _called(df, lambda m: list(inner(m)), kind, catch)
+    out = _called(df, lambda m: list(inner(m)), kind, catch, keep)
     good, bad = split_errors(out) if catch else (out.drop("_error"), None)
     return good.withColumn("payload", F.explode("_out.value")).drop("_out"), None if bad is None else bad.drop("_out")
 

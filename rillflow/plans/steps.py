@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions.codecs import check_compression
 from ..functions.types import DataType, Field, struct_of
-from ..operators.grouped import Accumulator, SlidingWindow, TumblingWindow
+from ..operators.grouped import Accumulator, GroupBy, SessionWindow, SlidingWindow, TumblingWindow
+
+#: How long a batch waits if its step names no duration: processing time on a stream, which a table has none of.
+DEFAULT_SPAN = datetime.timedelta(seconds=10)
 
 Function = Column | Callable | str
 
@@ -146,9 +149,18 @@ class ParquetSerializer(Step):
 
 @dataclass
 class Batch(Step):
+    """Batches of ``batch_size`` messages or of ``batch_timedelta``, whichever comes first.
+
+    On a table a duration is event time; the default one cuts only batches without a size.
+    """
+
     batch_size: int | None = None
-    batch_timedelta: datetime.timedelta | None = datetime.timedelta(seconds=10)
-    group_by: Mapping[str, Column] | None = None
+    batch_timedelta: datetime.timedelta | None = DEFAULT_SPAN
+    group_by: GroupBy | Mapping[str, Column] | None = None
+
+    def span(self) -> datetime.timedelta | None:
+        """The duration by which batches of a table are cut."""
+        return None if self.batch_size is not None and self.batch_timedelta is DEFAULT_SPAN else self.batch_timedelta
 
     def override(self, config: Mapping[str, Any]) -> None:
         if config.get("batch_size") is not None:
@@ -165,12 +177,16 @@ class Batch(Step):
 
 @dataclass
 class Aggregate(Step):
-    window: TumblingWindow | SlidingWindow
+    window: TumblingWindow | SlidingWindow | SessionWindow
     aggregate: Mapping[str, Column] | Callable[[], Accumulator]
     returns: T.DataType | str = "string"
-    group_by: Mapping[str, Column] | None = None
+    group_by: GroupBy | Mapping[str, Column] | None = None
     origin: datetime.datetime | None = None
     backend: Any = None
+    #: How long a stream's windows wait for late messages, in Spark's interval syntax.
+    delay: str = "0 seconds"
+
+    settings = {"watermark_delay": ("delay", str)}
 
     def validate(self) -> None:
         self.window.check()
@@ -178,17 +194,18 @@ class Aggregate(Step):
 
 @dataclass
 class Reducer(Step):
-    """Windowed reduction; ``group_by_key`` is {name: column}, ``aggregate_func`` {name: aggregate} or an Accumulator class."""
+    """Windowed reduction; ``group_by_key`` is {name: column} or a GroupBy, ``aggregate_func`` {name: aggregate} or an Accumulator class."""
 
-    window: TumblingWindow | SlidingWindow
+    window: TumblingWindow | SlidingWindow | SessionWindow
     aggregate_func: Mapping[str, Column] | Callable[[], Accumulator]
     aggregate_backend: Any = None
-    group_by_key: Mapping[str, Column] | None = None
+    group_by_key: GroupBy | Mapping[str, Column] | None = None
     returns: T.DataType | str = "string"
     origin: datetime.datetime | None = None
+    delay: str = "0 seconds"
 
     def lower(self) -> Step:
-        return Aggregate(self.name, self.window, self.aggregate_func, self.returns, self.group_by_key, self.origin, self.aggregate_backend)
+        return Aggregate(self.name, self.window, self.aggregate_func, self.returns, self.group_by_key, self.origin, self.aggregate_backend, self.delay)
 
 
 @dataclass
@@ -212,10 +229,14 @@ class StreamSink(Sink):
 
 @dataclass
 class ObjectSink(Sink):
-    """An object per message in a bucket, named by a callable."""
+    """An object per message in a bucket, named by a callable.
+
+    A callable with a parameter gets the message's (source partition, offset); names made
+    from these are the same when a task or micro-batch is repeated, so nothing is doubled.
+    """
 
     bucket: str
-    object_generator: Callable[[], str]
+    object_generator: Callable[..., str]
     thread_count: int = 1
 
     settings = {"bucket": ("bucket", str)}

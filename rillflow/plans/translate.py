@@ -7,27 +7,35 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import SchemaRegistry
 from ..functions.message import HEADERS
+from ..functions.metrics import counted
 from ..operators import grouped, routing, rowwise
 from ..streaming import state
-from ..sources.streams import DeadLetters, Streams, dead_letters
+from ..sources.inputs import DeadLetters, Inputs, dead_letters
 from . import steps as S
 from .graph import Pipeline
 
 
 @dataclass
 class Plan:
-    """``sinks``: (step, table) by sink name; ``dead``: invalid messages, if they are kept; ``order``: steps as visited."""
+    """``sinks``: (step, table) by sink name; ``dead``: invalid messages, if they are kept; ``order``: steps as visited.
+
+    ``kept``: tables held while the plan's sinks are written; ``counts``: what each step
+    has read and refused, by metric and step, once a sink has run.
+    """
 
     sinks: dict[str, tuple[S.Sink, DataFrame]] = field(default_factory=dict)
     dead: DataFrame | None = None
     dead_target: DeadLetters | None = None
     order: list[str] = field(default_factory=list)
     backends: list[tuple[Any, DataFrame]] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)
+    counts: list[tuple[str, str, Observation]] = field(default_factory=list)
 
 
 class Translator:
@@ -35,10 +43,14 @@ class Translator:
 
     ``on_error``: "fail" stops the query at an invalid message, "drop" leaves it out,
     "dlq" collects it.  The default is dlq where the source has dead letters, else fail.
+    ``keep``: on tables, what callables return is held on the executors' disks until all
+    sinks are written, so that valid and invalid messages come from the same calls.
+    ``count``: steps count what they read and refuse.
     """
 
-    def __init__(self, streams: Streams, registry: SchemaRegistry | None = None, config: Mapping[str, Any] | None = None, *, on_error: str | None = None, compat_headers: bool = False) -> None:
-        self.streams, self.registry = streams, registry or SchemaRegistry()
+    def __init__(self, inputs: Inputs, registry: SchemaRegistry | None = None, config: Mapping[str, Any] | None = None, *, on_error: str | None = None, compat_headers: bool = False, keep: bool = False, count: bool = False) -> None:
+        self.inputs, self.registry = inputs, registry or SchemaRegistry()
+        self.keep, self.count = keep, count
         self.config = (config or {}).get("steps_config", {})
         self.on_error, self.compat_headers = on_error, compat_headers
 
@@ -54,7 +66,7 @@ class Translator:
                 plan.dead_target = dead_letters(step.dlq_stream_name, (self.config.get(step.name) or {}).get("dlq"))
                 self.policy = self.on_error or ("dlq" if plan.dead_target else "fail")
                 self.stream = step.logical
-                df = self.streams.open(spark, step.stream_name).withColumn("schema", F.coalesce("schema", F.lit(step.logical)))
+                df = self.inputs.open(spark, step.stream_name).withColumn("schema", F.coalesce("schema", F.lit(step.logical)))
                 if step.header_filter:
                     df = rowwise.filter_header_bytes(df, *step.header_filter)
                 if self.policy == "dlq":
@@ -71,8 +83,16 @@ class Translator:
             elif isinstance(step, S.Broadcast):
                 tables |= routing.broadcast(df, step.branches)
             elif not isinstance(step, S.Branch):
+                parallelism = ((self.config.get(step.name) or {}).get("parallelism") or {}).get("multi_process")
+                if parallelism:  # so many tasks at a time for this step and those after it
+                    df = df.repartition(int(parallelism["processes"]))
+                if self.count:
+                    df = self._counted(plan, df, step.name, "input.messages")
+                self.plan = plan
                 tables[step.name], invalid = self.transform(step, df)
                 if invalid is not None and self.policy == "dlq":
+                    if self.count and plan.dead_target:
+                        invalid = self._counted(plan, invalid, step.name, "errors")
                     bad.append(invalid.select("raw", "src_partition", "src_offset", F.lit(step.name).alias("step"), "error"))
                 if isinstance(step, S.Aggregate) and step.backend is not None:
                     plan.backends.append((step.backend, tables[step.name]))
@@ -84,13 +104,13 @@ class Translator:
         """One simple step on messages: (good, invalid)."""
         catch = self.policy != "fail"
         if isinstance(step, S.Map):
-            return rowwise.map_messages(df, step.function, step.returns, catch=catch, drop_headers=self.compat_headers)
+            return rowwise.map_messages(df, step.function, step.returns, catch=catch, drop_headers=self.compat_headers, keep=self._kept)
         if isinstance(step, S.PredicateFilter):
-            return rowwise.filter_messages(df, step.function, catch=catch)
+            return rowwise.filter_messages(df, step.function, catch=catch, keep=self._kept)
         if isinstance(step, S.HeadersFilter):
             return rowwise.filter_header(df, step.header_name, step.value, catch=catch)
         if isinstance(step, S.FlatMap):
-            return rowwise.flat_map(df, step.function, step.returns, catch=catch)
+            return rowwise.flat_map(df, step.function, step.returns, catch=catch, keep=self._kept)
         if isinstance(step, S.Unbatch):
             return rowwise.unbatch(df), None
         if isinstance(step, (S.Parser, S.BatchParser)):
@@ -104,18 +124,29 @@ class Translator:
         if isinstance(step, S.ParquetSerializer):
             return rowwise.serialize_parquet(df, step.schema, step.compression), None
         if isinstance(step, S.Batch):
-            if step.group_by:
-                df = df.withColumns(dict(step.group_by))
+            df, keys = grouped.keyed(df, step.group_by)
             if df.isStreaming:
-                return self._messages(state.stream_batches(df, step.batch_size, step.batch_timedelta, list(step.group_by or {}))), None
-            span = None if step.batch_size is not None else step.batch_timedelta
-            return self._messages(grouped.batch(df, step.batch_size, span=span, keys=list(step.group_by or {}))), None
+                return self._messages(state.stream_batches(df, step.batch_size, step.batch_timedelta, keys)), None
+            return self._messages(grouped.batch(df, step.batch_size, span=step.span(), keys=keys)), None
         if isinstance(step, S.Aggregate):
-            run = state.stream_reduce if df.isStreaming else grouped.reduce_messages
-            out = run(df, step.window, step.aggregate, returns=step.returns, group_by=step.group_by, origin=step.origin)
+            options = {"returns": step.returns, "group_by": step.group_by, "origin": step.origin}
+            out = state.stream_reduce(df, step.window, step.aggregate, **options, delay=step.delay) if df.isStreaming else grouped.reduce_messages(df, step.window, step.aggregate, **options)
             return self._messages(out), None
         raise TypeError(f"step {step.name}: unknown kind {type(step).__name__}")
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        if not self.keep or df.isStreaming:
+            return df
+        self.plan.kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.plan.kept[-1]
+
+    @staticmethod
+    def _counted(plan: Plan, df: DataFrame, step: str, metric: str) -> DataFrame:
+        out, seen = counted(df, step, metric)
+        if seen is not None:
+            plan.counts.append((metric, step, seen))
+        return out
+
     def _or_fail(self, parse: Any, df: DataFrame) -> DataFrame:
         """Good rows; a bad one fails the query when it runs."""
         good, bad = parse(df, self.stream, self.registry)

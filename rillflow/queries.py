@@ -20,7 +20,7 @@ from .operators.grouped import Accumulator, KVAccumulator, SlidingWindow, Tumbli
 from .plans.graph import Pipeline, branch, streaming_source
 from .plans.steps import Batch, BatchParser, DevNullSink, FlatMap, HeadersFilter, Map, ParquetSerializer, Parser, PredicateFilter, Reducer, Serializer, StreamSink, Unbatch
 from .plans.translate import Translator
-from .sources.streams import Streams
+from .sources.inputs import Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +52,7 @@ def events(spark: SparkSession, sf_dir: str, payload: Column | None = None, head
 
 def outputs(spark: SparkSession, pipeline: Pipeline, messages: DataFrame, **options) -> dict[str, DataFrame]:
     """Each sink's table of a pipeline over one stream."""
-    plan = Translator(Streams({"events": messages}), REGISTRY, options.pop("config", None), **options).translate(spark, pipeline)
+    plan = Translator(Inputs({"events": messages}), REGISTRY, options.pop("config", None), **options).translate(spark, pipeline)
     return {name: df for name, (_, df) in plan.sinks.items()} | ({"dead": plan.dead} if plan.dead is not None else {})
 
 

@@ -1,4 +1,4 @@
-"""Where streams come from and go to: static tables, file streams, Kafka, and dead letters."""
+"""Where messages come from and go to: static tables, files, Kafka, and dead letters."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from ..functions.message import from_kafka
 
 
 @dataclass
-class Streams:
+class Inputs:
     """Messages by stream name: a table in envelope layout, or a function that gives one for a session."""
 
     inputs: dict[str, DataFrame | Callable[[SparkSession], DataFrame]] = field(default_factory=dict)
@@ -29,7 +29,8 @@ def kafka_options(config: Mapping[str, Any], topic: str, group: str) -> dict[str
     """Options of Spark's Kafka source.
 
     ``auto_offset_reset``: earliest, latest (default) or error, which accepts only a
-    query with a checkpoint; ``strict_offset_reset`` fails on lost data.
+    query with a checkpoint; ``strict_offset_reset`` fails on lost data;
+    ``max_offsets_per_trigger`` bounds a micro-batch, so that a slow sink isn't flooded.
     """
     reset = config.get("auto_offset_reset", "latest")
     if reset not in ("earliest", "latest", "error"):
@@ -43,6 +44,9 @@ def kafka_options(config: Mapping[str, Any], topic: str, group: str) -> dict[str
         "startingOffsets": "latest" if reset == "error" else reset,
         "failOnDataLoss": str(bool(config.get("strict_offset_reset", False))).lower(),
     }
+    for key, option in (("max_offsets_per_trigger", "maxOffsetsPerTrigger"), ("min_partitions", "minPartitions")):
+        if config.get(key) is not None:
+            options[option] = str(int(config[key]))
     return options | {f"kafka.{k}": str(v) for k, v in (config.get("override_params") or {}).items()}
 
 
@@ -82,9 +86,9 @@ def dead_letters(stream: str | None, config: Mapping[str, Any] | None) -> DeadLe
     return DeadLetters(topic, kafka_sink_options(config, topic))
 
 
-def sink_value(df: DataFrame) -> DataFrame:
+def sink_value(df: DataFrame, *more: str) -> DataFrame:
     """The payload as the bytes that a stream sink writes; other types are refused when planning."""
     kind = df.schema["payload"].dataType.typeName()
     if kind not in ("binary", "string"):
         raise TypeError(f"a stream sink takes bytes or text, not {kind}; add a serializer")
-    return df.select(F.col("payload").cast("binary").alias("value"), *(c for c in ("headers",) if c in df.columns))
+    return df.select(F.col("payload").cast("binary").alias("value"), *(c for c in ("headers",) if c in df.columns), *more)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.message import _plain
-from ..operators.grouped import Accumulator, SlidingWindow, TumblingWindow, interval, windowed
+from ..operators.grouped import Accumulator, GroupBy, SessionWindow, SlidingWindow, TumblingWindow, interval, keyed, offset_of, sessions, utc, windowed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,13 +37,14 @@ class _Batches(StatefulProcessor):
         self.items = handle.getListState("items", self.item)
 
     def _row(self, key: tuple, items: list[Row]) -> Row:
-        return Row(*self.names)(*key, [i[0] for i in items], max(i[1] for i in items), items[0][2], items[0][3])
+        return Row(*self.names)(*key, [i[0] for i in items], max(i[1] for i in items), *items[0][2:])
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held = [tuple(r) for r in self.items.get()] if self.items.exists() else []
         was_open = bool(held)
-        for row in rows:
-            held.append((row["payload"], row["timestamp"], row["schema"], row["src_offset"]))
+        # a micro-batch brings the rows of several partitions mixed
+        for row in sorted(rows, key=lambda r: (r["src_partition"] or 0, r["src_offset"] or 0)):
+            held.append((row["payload"], row["timestamp"], row["schema"], row["src_partition"], row["src_offset"]))
             if self.size is not None and len(held) >= self.size:
                 yield self._row(key, held)
                 held, was_open = [], False
@@ -76,7 +77,7 @@ def stream_batches(df: DataFrame, size: int | None, span: datetime.timedelta | N
     use_rocksdb(df)
     df = df if keys else df.withColumn("_all", F.lit(0))
     names = list(keys) or ["_all"]
-    item = T.StructType([T.StructField(n, df.schema[n].dataType) for n in ("payload", "timestamp", "schema", "src_offset")])
+    item = T.StructType([T.StructField(n, df.schema[n].dataType) for n in ("payload", "timestamp", "schema", "src_partition", "src_offset")])
     out = T.StructType([*(df.schema[k] for k in names), T.StructField("payload", T.ArrayType(df.schema["payload"].dataType)), *item.fields[1:]])
     processor = _Batches(size, None if span is None else round(span.total_seconds() * 1000), item, out.names)
     result = df.groupBy(*names).transformWithState(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
@@ -120,19 +121,19 @@ class _Accumulators(StatefulProcessor):
 
 def stream_reduce(
     df: DataFrame,
-    window: TumblingWindow | SlidingWindow,
+    window: TumblingWindow | SlidingWindow | SessionWindow,
     aggregate: Mapping[str, Column] | Callable[[], Accumulator],
     *,
     returns: T.DataType | str = "string",
-    group_by: Mapping[str, Column] | None = None,
+    group_by: GroupBy | Mapping[str, Column] | None = None,
     origin: datetime.datetime | None = None,
     delay: str = "0 seconds",
 ) -> DataFrame:
     """Like ``reduce_messages`` on a stream: a window closes when the watermark (``delay`` behind) passes its end."""
     window.check()
-    keys = list(group_by or {})
-    if group_by:
-        df = df.withColumns(dict(group_by))
+    df, keys = keyed(df, group_by)
+    if isinstance(window, SessionWindow):
+        return sessions(df.withWatermark("timestamp", delay), window, aggregate, keys)
     counted = isinstance(window, TumblingWindow) and window.window_size is not None
     if counted:
         if not callable(aggregate):
@@ -144,11 +145,10 @@ def stream_reduce(
         names = [*keys, *extra]
     else:
         size, slide = (window.window_timedelta, window.window_timedelta) if isinstance(window, TumblingWindow) else (window.window_size, window.window_slide)
-        start = datetime.timedelta(0) if origin is None else (origin.replace(tzinfo=origin.tzinfo or datetime.timezone.utc) - datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)) % slide
-        w = F.window("timestamp", interval(size), interval(slide), interval(start))
+        w = F.window("timestamp", interval(size), interval(slide), interval(offset_of(origin, slide)))
         out = df.withWatermark("timestamp", delay).groupBy(*keys, w.alias("_w")).agg(*(c.alias(f"_a_{n}") for n, c in aggregate.items()))
         if origin is not None:
-            out = out.where(F.col("_w.start") >= F.lit(origin))
+            out = out.where(F.col("_w.start") >= F.lit(utc(origin)))
         return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), F.struct(*(F.col(f"_a_{n}").alias(n) for n in aggregate)).alias("payload"))
     use_rocksdb(df)
     returns = T._parse_datatype_string(returns) if isinstance(returns, str) else returns

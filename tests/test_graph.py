@@ -6,7 +6,7 @@ from rillflow.errors import ConfigEnvError, InvalidPipelineError
 from rillflow.plans import config
 from rillflow.plans.graph import branch, streaming_source
 from rillflow.plans.steps import Batch, DevNullSink, Filter, HeadersFilter, Map, ObjectSink, ParquetSerializer, StreamSink, StreamSource
-from rillflow.sources.streams import dead_letters, kafka_options
+from rillflow.sources.inputs import dead_letters, kafka_options
 
 
 def test_visits_breadth_first_through_broadcast_and_router():

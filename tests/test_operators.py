@@ -14,12 +14,13 @@ from rillflow.functions import types as ty
 from rillflow.functions.codecs import SchemaRegistry, dumps
 from rillflow.functions.message import to_messages
 from rillflow.operators import grouped, routing, rowwise
-from rillflow.operators.grouped import SlidingWindow, TumblingWindow
+from rillflow.functions.metrics import Metrics
+from rillflow.operators.grouped import SessionWindow, SlidingWindow, TumblingWindow
 from rillflow.plans.graph import streaming_source
-from rillflow.plans.steps import FlatMap, Map, ObjectSink, Reducer, StreamSink
+from rillflow.plans.steps import Batch, FlatMap, Map, ObjectSink, PredicateFilter, Reducer, StreamSink
 from rillflow.plans.translate import Translator
-from rillflow.sources.sinks import FolderStore, KVAggregationBackend, Outputs
-from rillflow.sources.streams import Streams, sink_value
+from rillflow.sources.sinks import FolderStore, KafkaOutputs, KVAggregationBackend, Outputs, UriStore
+from rillflow.sources.inputs import Inputs, sink_value
 from rillflow.streaming.run import run_once
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -160,8 +161,8 @@ def test_run_once_writes_sinks_objects_and_backends(spark, tmp_path):
     store, backend = FolderStore(str(tmp_path)), KVAggregationBackend()
     m = messages(spark, [("a", 0), ("b", 1), ("a", 2)])
     p = streaming_source("source", "s").apply(FlatMap("twice", F.array("payload", "payload"))).sink(StreamSink("sink", "out"))
-    run_once(spark, p, Translator(Streams({"s": m})), Outputs(f"file://{tmp_path}/streams"))
-    assert spark.read.parquet(f"file://{tmp_path}/streams/out").count() == 6
+    run_once(spark, p, Translator(Inputs({"s": m})), Outputs(f"file://{tmp_path}/tables"))
+    assert spark.read.parquet(f"file://{tmp_path}/tables/out").count() == 6
 
     def name():
         import uuid
@@ -169,9 +170,136 @@ def test_run_once_writes_sinks_objects_and_backends(spark, tmp_path):
         return f"{uuid.uuid4()}.bin"
 
     p = streaming_source("source", "s").apply(Map("same", F.col("payload"))).sink(ObjectSink("sink", "bucket", name))
-    run_once(spark, p, Translator(Streams({"s": m})), Outputs("unused", store))
+    run_once(spark, p, Translator(Inputs({"s": m})), Outputs("unused", store))
     assert sorted(f.read_bytes() for f in (tmp_path / "bucket").iterdir()) == [b"a", b"a", b"b"]
     reduce = Reducer("r", TumblingWindow(window_timedelta=datetime.timedelta(days=1)), {"n": F.count(F.lit(1))}, backend)
     p = streaming_source("source", "s").apply(reduce).apply(Map("text", F.to_json("payload"))).sink(StreamSink("sink", "sums"))
-    run_once(spark, p, Translator(Streams({"s": m})), Outputs(f"file://{tmp_path}/streams"))
+    run_once(spark, p, Translator(Inputs({"s": m})), Outputs(f"file://{tmp_path}/tables"))
     assert backend.map == {"n": 3}
+
+
+def partitioned(spark, rows):
+    """(partition, offset, payload, seconds) rows as messages."""
+    df = spark.createDataFrame([(p, o, x, T0 + datetime.timedelta(seconds=s)) for p, o, x, s in rows], "part int, o bigint, p string, t timestamp").repartition(3)
+    return to_messages(df, F.col("p"), schema="s", timestamp=F.col("t"), offset=F.col("o"), partition=F.col("part"))
+
+
+def test_offsets_repeat_across_partitions(spark):
+    m = partitioned(spark, [(p, o, f"{p}-{o}", o) for o in range(7) for p in (0, 1)])
+    want = [f"{p}-{o}" for p in (0, 1) for o in range(7)]
+    for _ in range(2):
+        out = grouped.batch(m, 4).collect()
+        assert [r.payload for r in sorted(out, key=lambda r: (r.src_partition, r.src_offset))] == [want[i : i + 4] for i in range(0, 14, 4)]
+    counted = grouped.reduce_messages(m, TumblingWindow(5), {"ids": F.sort_array(F.collect_list("payload"))}).orderBy("window_number").collect()
+    assert [r.payload.ids for r in counted] == [want[i : i + 5] for i in range(0, 14, 5)]
+
+
+def test_batches_by_size_or_time_and_null_keys(spark):
+    m = messages(spark, [("a", 0), ("b", 1), ("c", 2), ("d", 11), ("e", 12), ("f", 40)])
+    step = Batch("b", batch_size=2, batch_timedelta=datetime.timedelta(seconds=10))
+    p = streaming_source("source", "s").apply(step).apply(Map("text", F.array_join("payload", ""))).sink(StreamSink("sink", "out"))
+    plan = Translator(Inputs({"s": m})).translate(spark, p)
+    assert sorted(r.payload for r in plan.sinks["sink"][1].collect()) == ["ab", "c", "de", "f"]
+    assert Batch("b", batch_size=2).span() is None and Batch("b").span() == datetime.timedelta(seconds=10)
+    keyed = m.withColumn("k", F.when(F.col("payload") < "d", "x"))
+    out = grouped.batch(keyed, 2, span=datetime.timedelta(seconds=10), keys=["k"]).collect()
+    assert sorted("".join(r.payload) for r in out) == ["ab", "c", "de", "f"]
+
+
+class ByLetter(grouped.GroupBy):
+    def get_group_by_key(self, payload):
+        return payload[0]
+
+
+def test_group_by_objects(spark):
+    m = messages(spark, [("a1", 0), ("b1", 1), ("a2", 2)])
+    out = grouped.reduce_messages(m, TumblingWindow(window_timedelta=datetime.timedelta(hours=1)), {"n": F.count(F.lit(1))}, group_by=ByLetter()).collect()
+    assert sorted((r.group_key, r.payload.n) for r in out) == [("a", 2), ("b", 1)]
+    p = streaming_source("source", "s").apply(Batch("b", batch_size=5, group_by=ByLetter())).apply(Map("text", F.array_join("payload", ""))).sink(StreamSink("sink", "out"))
+    plan = Translator(Inputs({"s": m})).translate(spark, p)
+    assert sorted(r.payload for r in plan.sinks["sink"][1].collect()) == ["a1a2", "b1"]
+
+
+def test_sessions(spark):
+    m = messages(spark, [("a", 0), ("b", 5), ("c", 30), ("d", 31)])
+    gap = SessionWindow(datetime.timedelta(seconds=10))
+    out = grouped.reduce_messages(m, gap, {"n": F.count(F.lit(1))}).orderBy("window_start").collect()
+    assert [(r.payload.n, (r.window_end - r.window_start).total_seconds()) for r in out] == [(2, 15), (2, 11)]
+    with pytest.raises(ValueError):
+        SessionWindow(datetime.timedelta(0)).check()
+    with pytest.raises(ValueError):
+        grouped.reduce_messages(m, gap, KVAggregationBackend)
+
+
+def test_windows_with_a_naive_origin_follow_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.sql("SELECT 0L AS o, timestamp_micros(1704067200000000) AS t UNION ALL SELECT 1L, timestamp_micros(1704067199000000)")
+        m = to_messages(df, F.lit("p"), timestamp=F.col("t"), offset=F.col("o"))
+        out = grouped.reduce_messages(m, TumblingWindow(window_timedelta=datetime.timedelta(hours=1)), {"n": F.count(F.lit(1))}, origin=T0)
+        assert [(r.s, r.payload.n) for r in out.select(F.unix_seconds("window_start").alias("s"), "payload").collect()] == [(1704067200, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_objects_with_names_by_origin_and_uris(spark, tmp_path):
+    m = messages(spark, [("a", 0), ("b", 1)])
+    sink = ObjectSink("sink", "bucket", lambda origin: f"{origin[0]}/{origin[1]}.bin")
+    p = streaming_source("source", "s").apply(Map("same", F.col("payload"))).sink(sink)
+    for _ in range(2):
+        run_once(spark, p, Translator(Inputs({"s": m})), Outputs("unused", UriStore(f"file://{tmp_path}/objects")))
+    assert {str(f.relative_to(tmp_path / "objects")): f.read_bytes() for f in (tmp_path / "objects").rglob("*.bin")} == {"bucket/0/0.bin": b"a", "bucket/0/1.bin": b"b"}
+
+
+def test_kafka_outputs_get_their_own_settings(spark):
+    """Sinks and dead letters through a writer that keeps what it gets."""
+    sent = {}
+    config = {"steps_config": {"source": {"dlq": {"bootstrap_servers": ["dead:1"], "topic": "letters", "override_params": {"linger.ms": "9"}}}, "sink": {"bootstrap_servers": ["a:1", "b:2"], "override_params": {"acks": "all"}}}}
+    outputs = KafkaOutputs(config["steps_config"], writer=lambda df, options: sent.update({options["topic"]: (options, df.collect())}))
+
+    def number(m):
+        if not m.payload.isdigit():
+            raise InvalidMessageError("not a number")
+        return m.payload
+
+    p = streaming_source("source", "s", dlq_stream_name="dead").apply(Map("number", number)).sink(StreamSink("sink", "out"))
+    run_once(spark, p, Translator(Inputs({"s": messages(spark, [("1", 0), ("x", 1)])}), config=config), outputs)
+    options, rows = sent["out"]
+    assert options == {"kafka.bootstrap.servers": "a:1,b:2", "topic": "out", "kafka.acks": "all", "includeHeaders": "true"} and [bytes(r.value) for r in rows] == [b"1"]
+    options, rows = sent["letters"]
+    assert options["kafka.bootstrap.servers"] == "dead:1" and options["kafka.linger.ms"] == "9"
+    assert [bytes(r.value) for r in rows] == [b"x"] and {h.key: bytes(h.value) for h in rows[0].headers}["src_offset"] == b"1"
+    with pytest.raises(ValueError, match="bootstrap_servers"):
+        KafkaOutputs({}).write(StreamSink("sink", "out"), messages(spark, [("1", 0)]))
+
+
+class Kept(Metrics):
+    def __init__(self):
+        super().__init__(period=1e9)
+
+    def send(self, kind, name, value, tags): ...
+
+
+def test_callables_run_once_for_both_sides_and_steps_count(spark, tmp_path):
+    calls, metrics = spark.sparkContext.accumulator(0), Kept()
+
+    def check(m):
+        calls.add(1)
+        if m.payload == "x":
+            raise InvalidMessageError("x")
+        return m.payload
+
+    config = {"steps_config": {"source": {"dlq": {"bootstrap_servers": ["a:1"]}}}}
+    p = streaming_source("source", "s", dlq_stream_name="dead").apply(Map("check", check)).apply(PredicateFilter("some", F.col("payload") != "b")).sink(StreamSink("sink", "out"))
+    run_once(spark, p, Translator(Inputs({"s": messages(spark, [("a", 0), ("x", 1), ("b", 2)])}), config=config), Outputs(f"file://{tmp_path}/o"), metrics=metrics)
+    assert calls.value == 3
+    assert spark.read.parquet(f"file://{tmp_path}/o/out").count() == 1 and spark.read.parquet(f"file://{tmp_path}/o/dead").count() == 1
+    assert {(n, dict(t)["step"]): v for (n, t), v in metrics.counters.items()} == {("pipeline.step.input.messages", "check"): 3, ("pipeline.step.input.messages", "some"): 2, ("pipeline.step.errors", "check"): 1}
+    assert metrics.largest
+
+
+def test_processes_become_partitions(spark):
+    config = {"steps_config": {"same": {"parallelism": {"multi_process": {"processes": 5, "batch_size": 10, "batch_time": 0.2}}}}}
+    p = streaming_source("source", "s").apply(Map("same", F.col("payload"))).sink(StreamSink("sink", "out"))
+    plan = Translator(Inputs({"s": messages(spark, [(str(i), i) for i in range(50)])}), config=config).translate(spark, p)
+    assert plan.sinks["sink"][1].rdd.getNumPartitions() == 5

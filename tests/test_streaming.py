@@ -8,7 +8,7 @@ from rillflow.plans.graph import branch, streaming_source
 from rillflow.plans.steps import Batch, Map, Reducer, StreamSink
 from rillflow.plans.translate import Translator
 from rillflow.sources.sinks import Outputs
-from rillflow.sources.streams import Streams
+from rillflow.sources.inputs import Inputs
 from rillflow.streaming.run import run_stream
 
 SECOND = datetime.timedelta(seconds=1)
@@ -41,7 +41,7 @@ def stream(spark, folder, rows):
 def run(spark, pipeline, messages, tmp_path):
     seen = {}
     outputs = Outputs(lambda name, df: seen.setdefault(name, []).extend(bytes(r.value).decode() for r in df.collect()))
-    for q in run_stream(spark, pipeline, Translator(Streams({"s": messages})), outputs, str(tmp_path / "checkpoint"), trigger={"availableNow": True}):
+    for q in run_stream(spark, pipeline, Translator(Inputs({"s": messages})), outputs, str(tmp_path / "checkpoint"), trigger={"availableNow": True}):
         q.awaitTermination(120)
         assert q.exception() is None
     return seen
