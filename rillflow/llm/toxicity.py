@@ -4,8 +4,9 @@ A word's vector is the mean of the embeddings of its subwords: the word itself a
 character n-grams of 3 to 5, each marked if it touches the word's begin or end.  A
 document's vector is the mean of its words' vectors.  Unseen misspellings and unseen
 words of a known family share n-grams with known ones, and a subword never seen in
-training has the zero vector.  The softmax is linear, so scoring needs one number per
-subword bucket.
+training has the zero vector.  Embeddings and softmax are fitted together under a
+penalty on the length of each embedding.  The softmax is linear, so scoring needs one
+number per subword bucket.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ DIMENSIONS = 8
 SIZES = (3, 4, 5)
 #: Bound of the labelled rows of each class that training sees.
 SAMPLE_ROWS = 1500
-#: Subwords that are kept below the bound of ``telling`` if fewer pass it.
-LEAST_TELLING = 50
+#: Training documents that a subword must occur in to have an embedding.
+LEAST_DOCUMENTS = 2
+#: How far subwords are put on one scale: 0 leaves shares as they are, 1 gives all the same mean square.
+EVEN = 0.75
 
 _BEGIN, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,71 +86,76 @@ def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             yield s.first + i, keys.astype(np.int32), np.bincount(back, np.repeat(share, per_word[mine]), len(keys)).astype(np.float32)
 
 
-def telling(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, errors: float) -> np.ndarray:
-    """Buckets that occur in both classes' documents at rates at least ``errors`` standard errors apart, or the strongest ones.
+def _fit_active(at: np.ndarray, share: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: np.ndarray, state: tuple, steps: int) -> tuple:
+    """Accelerated proximal steps on the embeddings, the softmax and the bias together.
 
-    Of some fifty thousand frequent subwords most say nothing about the class; without
-    this screen their embeddings learn single training documents by heart.
+    With two classes the softmax needs one direction, the difference of its rows; of it
+    and the embeddings only the product counts, so it is kept at length one.  After each
+    step a subword's whole embedding shrinks by its penalty and vanishes if it is shorter.
     """
-    seen = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
-    toxic = np.bincount(np.concatenate([r[0] for r, label in zip(rows, y, strict=True) if label == 1]), minlength=BUCKETS)
-    n, n1 = len(y), y.sum()
-    share = np.clip(seen / n, 1e-9, 1 - 1e-9)
-    apart = np.abs(toxic / n1 - (seen - toxic) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    apart[seen < 3] = 0
-    # few rows reach the bound with hardly any subword: the strongest ones stay
-    return np.flatnonzero(apart >= min(errors, max(2.0, np.sort(apart)[-LEAST_TELLING])))
-
-
-def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, epochs: int = 15, batch: int = 64, rate: float = 0.02, l2: float = 1e-3, errors: float = 5.0) -> Model:
-    """Fits the embeddings of the telling subwords and the softmax together by Adam; both classes weigh alike.
-
-    Shares are divided by their root mean square, so that rare subwords learn as fast as
-    common ones.  With one class only (or no rows) the score is constant.
+    embedding, direction, bias = state
+    move, bias_move = np.zeros_like(embedding), 0.0
+    n, rate = len(y), 2.0  # 1 / rate: bound of the curvature, as shares are scaled
+    for step in range(steps):
+        ahead, bias_ahead = embedding + step / (step + 3) * move, bias + step / (step + 3) * bias_move
+        z = np.bincount(doc, (ahead @ direction)[at] * share, n) + bias_ahead
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
+        pull = np.bincount(at, error[doc] * share, len(embedding))
+        fresh = ahead - rate * pull[:, None] * direction
+        length = np.sqrt((fresh * fresh).sum(1))
+        fresh *= np.maximum(1 - rate * penalty / np.maximum(length, 1e-300), 0)[:, None]
+        turned = direction - rate * (pull @ fresh)
+        direction = turned / max(1e-12, float(np.sqrt((turned * turned).sum())))
+        fresh_bias = bias_ahead - rate * float(error.sum())
+        move, bias_move, embedding, bias = fresh - embedding, fresh_bias - bias, fresh, fresh_bias
+    return embedding, direction, bias
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, shrink: float = 0.15, least: int = LEAST_DOCUMENTS, seed: int = 7) -> Model:
+    """Fits the embeddings of all subwords of at least ``least`` documents and the softmax together; both classes weigh alike.
+
+    Few subwords tell anything about the class, so embeddings are shrunk: by ``shrink``
+    times the pull that would keep all of them at zero, at any number of rows.  In later
+    rounds strong subwords are shrunk less, so that they aren't underrated.  Shares are
+    divided by a power of their root mean square, so that rare subwords learn nearly as
+    fast as common ones.  With one class only (or no rows) the score is constant.
     """
-    if not len(y) or y.min() == y.max():
+    seen = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS) if len(rows) else np.zeros(BUCKETS)
+    used = np.flatnonzero(seen >= min(least, len(y)))
+    if not len(used) or y.min() == y.max():
         p = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    used = telling(rows, y, errors)
     number = np.full(BUCKETS, -1)
     number[used] = np.arange(len(used))
-    square = np.bincount(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64) ** 2, BUCKETS)[used]
-    scale = np.sqrt(len(y) / np.maximum(square, 1e-30))
-    kept = []
-    for bucket, share in rows:
-        mine = number[bucket] >= 0
-        at = number[bucket[mine]]
-        kept.append((at, share[mine] * scale[at]))
-
-    rng = np.random.default_rng(7)
-    embedding = np.zeros((len(used), DIMENSIONS))
-    softmax, bias = rng.normal(0, 1, (DIMENSIONS, 2)), np.zeros(2)
-    parameters = [embedding, softmax, bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+    at, share = number[np.concatenate([r[0] for r in rows])], np.concatenate([r[1] for r in rows]).astype(np.float64)
+    doc = np.repeat(np.arange(len(y)), [len(r[0]) for r in rows])
+    at, share, doc = at[at >= 0], share[at >= 0], doc[at >= 0]
+    scale = (len(y) / np.bincount(at, share**2, len(used))) ** (EVEN / 2)
+    scale /= np.sqrt(((share * scale[at]) ** 2).sum() / len(y))
+    share = share * scale[at]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for i in range(0, len(order), batch):
-            part = order[i : i + batch]
-            doc = np.repeat(np.arange(len(part)), [len(kept[k][0]) for k in part])
-            at, share = np.concatenate([kept[k][0] for k in part]), np.concatenate([kept[k][1] for k in part])
-            vector = np.stack([np.bincount(doc, embedding[at, d] * share, len(part)) for d in range(DIMENSIONS)], 1)
-            z = vector @ softmax + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), y[part].astype(int)] -= 1
-            delta = p * weight[part, None] / len(part)
-            back = delta @ softmax.T
-            grad = np.stack([np.bincount(at, back[doc, d] * share, len(used)) for d in range(DIMENSIONS)], 1) + l2 * embedding
-            step += 1
-            for x, (m, v), g in zip(parameters, moments, (grad, vector.T @ delta, delta.sum(0)), strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                x -= rate * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
+
+    direction = np.random.default_rng(seed).normal(size=DIMENSIONS)
+    direction /= np.sqrt((direction * direction).sum())
+    embedding, bias = np.zeros((len(used), DIMENSIONS)), 0.0
+    full = shrink * np.abs(np.bincount(at, (weight * (0.5 - y) / len(y))[doc] * share, len(used))).max()
+    penalty = np.full(len(used), full)
+    for steps in (60, 200, 200, 200):
+        if steps > 60:  # a subword at zero stays there, which leaves a few hundred
+            length = np.sqrt((embedding * embedding).sum(1))
+            live = np.flatnonzero(length)
+            if not len(live):
+                break
+            keep = length[at] > 0
+            number[used] = -1
+            number[used[live]] = np.arange(len(live))
+            at, share, doc = number[used[at[keep]]], share[keep], doc[keep]
+            used, scale, embedding, length = used[live], scale[live], embedding[live], length[live]
+            penalty = full / (1 + length / np.median(length)) ** 2
+        embedding, direction, bias = _fit_active(at, share, doc, y, weight, penalty, (embedding, direction, bias), steps)
     out = np.zeros(BUCKETS, np.float32)
-    out[used] = (embedding @ (softmax[:, 1] - softmax[:, 0])) * scale
-    return Model(out, float(bias[1] - bias[0]))
+    out[used] = (embedding @ direction) * scale
+    return Model(out, float(bias))
 
 
 def scores(column: pa.Array, model: Model) -> np.ndarray:
@@ -164,7 +172,11 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", limit: int = SAMPLE_ROWS) -> Model:
-    """Trains on at most ``limit`` labelled rows of each class outside the held-out fold."""
+    """Trains on at most ``limit`` labelled rows of each class outside the held-out fold.
+
+    Their subword bags reach the driver: eight bytes for each distinct subword of a text,
+    of which there are at most ``BUCKETS``, so 1 MB a text at the very most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
