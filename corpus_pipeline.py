@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import bpe, decontam, linededup, neardup, quality
-from rillflow.llm.queries import TOKENIZERS, table
+from rillflow.llm.queries import VOCABULARY, table
 from rillflow.llm.scratch import store
 
 
@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of the text decoded from them."""
-    vocabulary = bpe.read_vocabulary(f"{TOKENIZERS}/word_bpe_49k.json")
+    vocabulary = bpe.read_vocabulary(VOCABULARY)
     decoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text"), vocabulary)
     return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -1,15 +1,19 @@
 """BPE encoding and decoding: batched numpy merge rounds over the symbols of many words.
 
-Distinct words of a batch lie in one flat symbol array.  Every round looks all
-neighbouring pairs up by binary search over the sorted pair keys, takes the lowest
-rank of each word and merges its occurrences from the left; words without a known
-pair leave the array.  The vocabulary file is a parameter (a tokenizers JSON whose
-words end in a suffix); its contents travel to the executors with the closure.
+Distinct words of a batch lie in one flat symbol array.  Every round takes the lowest
+rank of each word and merges its occurrences from the left; then only the pairs next to
+a merge are looked up again, by binary search over the sorted pair keys.  Words without a
+known pair leave the array.  Words of over ``LONG_WORD`` bytes would need as many rounds
+as they have different ranks; their symbols are linked instead, and a round merges all
+occurrences of the lowest rank left in any of them, so that the work grows with the
+merges and not with rounds times length.  The vocabulary file is a parameter (a
+tokenizers JSON whose words end in a suffix); it is broadcast to the executors.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -29,6 +33,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 _SHIFT = np.int64(20)
 _NONE = np.int64(1) << np.int64(40)
 
+#: Bytes beyond which a word's symbols are linked.
+LONG_WORD = 256
+
 
 def byte_characters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -63,7 +70,7 @@ class Codec:
         made = np.array([ids[a + b] for a, b in pairs], np.int64)
         key = (left << _SHIFT) | right
         order = np.argsort(key, kind="stable")
-        self.key, self.rank, self.made = key[order], order.astype(np.int64), made[order]
+        self.key, self.rank, self.made, self.pair = key[order], order.astype(np.int64), made, key
         # merging all occurrences in one round is exact only if no merge makes a pair of lower rank
         first = np.full(len(self.token), len(pairs))
         np.minimum.at(first, left, np.arange(len(pairs)))
@@ -71,6 +78,7 @@ class Codec:
         self.at_once = bool((first[made] > np.arange(len(pairs))).all())
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace(r"\s", SPACE), regex.V0)
+        self.letters_are_words = r"|[\p{L}]+|" in pattern  # then a run of letters needs no regex
         # the file's library knows Python's Unicode version; later letters and digits are plain symbols to it
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         later = np.array([ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"] or [0xE000])
@@ -94,21 +102,39 @@ class Codec:
             return [chunk[slice(*m.span())].encode() for m in self.split.finditer(self.later.sub("\ue000", chunk))]
         return [w.encode() for w in self.split.findall(chunk)]
 
-    def merge(self, words: Sequence[bytes]) -> list[np.ndarray]:
-        """Ids of each (non-empty) word."""
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(length)
-        symbol = self.inner[flat]
-        symbol[end - 1] = self.last[flat[end - 1]]
-        owner = np.repeat(np.arange(len(words)), length)
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, ``_NONE`` if no merge makes it."""
+        pair = (left << _SHIFT) | right
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, self.rank[at], _NONE)
+
+    def merge(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids of each (non-empty) word as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(words)
+        long = [len(w) > LONG_WORD for w in words]
+        for which, merged in ((False, self._merge_rounds), (True, self._merge_linked)):
+            number = [i for i, x in enumerate(long) if x == which]
+            if not number:
+                continue
+            flat = np.frombuffer(b"".join([words[i] for i in number]), np.uint8)
+            length = np.fromiter((len(words[i]) for i in number), np.int64, len(number))
+            end = np.cumsum(length)
+            symbol = self.inner[flat]
+            symbol[end - 1] = self.last[flat[end - 1]]
+            symbol, owner = merged(symbol, np.repeat(np.arange(len(number)), length))
+            data = symbol.astype("<u4").tobytes()
+            bound = (4 * np.r_[0, np.cumsum(np.bincount(owner, minlength=len(number)))]).tolist()
+            for i, a, b in zip(number, bound, bound[1:], strict=False):
+                out[i] = data[a:b]
+        return out
+
+    def _merge_rounds(self, symbol: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols left and the word of each, in word order."""
+        rank = np.full(len(symbol), _NONE)
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inside] = self.ranks(symbol[inside], symbol[inside + 1])
         done_symbol, done_owner = [], []
         while len(symbol):
-            pair = (symbol[:-1] << _SHIFT) | symbol[1:]
-            at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-            known = (self.key[at] == pair) & (owner[:-1] == owner[1:])
-            rank = np.full(len(symbol), _NONE)
-            rank[:-1][known] = self.rank[at[known]]
             head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             size = np.diff(np.r_[head, len(symbol)])
             best = np.repeat(np.minimum.reduceat(rank, head), size)
@@ -116,29 +142,89 @@ class Codec:
             done_symbol.append(symbol[~live])
             done_owner.append(owner[~live])
             hit = np.flatnonzero((rank == best) & live)
-            if len(hit):
-                if self.at_once:  # in a run of overlapping occurrences every second one merges
-                    fresh = np.r_[True, np.diff(hit) != 1]
-                    run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-                    hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-                else:
-                    hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
-                symbol[hit] = self.made[at[hit]]
-                live[hit + 1] = False
-            symbol, owner = symbol[live], owner[live]
+            if not len(hit):
+                break
+            if self.at_once:  # in a run of overlapping occurrences every second one merges
+                fresh = np.r_[True, np.diff(hit) != 1]
+                run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            else:
+                hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
+            symbol[hit] = self.made[rank[hit]]
+            live[hit + 1] = False
+            now = (np.cumsum(live) - 1)[hit]
+            symbol, owner, rank = symbol[live], owner[live], rank[live]
+            rank[now] = _NONE
+            near = np.concatenate([now, now[now > 0] - 1])
+            near = near[near < len(owner) - 1]
+            near = near[owner[near] == owner[near + 1]]
+            rank[near] = self.ranks(symbol[near], symbol[near + 1])
         if not done_symbol:
-            return []
+            return symbol, owner
         symbol, owner = np.concatenate(done_symbol), np.concatenate(done_owner)
-        symbol = symbol[np.argsort(owner, kind="stable")]
-        return np.split(symbol, np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+        order = np.argsort(owner, kind="stable")
+        return symbol[order], owner[order]
+
+    def _merge_linked(self, symbol: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long words: each symbol knows its neighbours, and waiting pairs lie by rank."""
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        cut = np.flatnonzero(owner[1:] != owner[:-1])
+        after[cut], before[cut + 1] = n, -1
+        rank, live = np.full(n, _NONE), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            rank[at] = _NONE
+            at = at[after[at] < n]
+            found = self.ranks(symbol[at], symbol[after[at]])
+            rank[at] = found
+            at, found = at[found < _NONE], found[found < _NONE]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.empty(0, np.int64)
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=False):
+                r = int(found[i])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(at[i:j])
+
+        look_up(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if not self.at_once:
+                first = np.r_[True, owner[at[1:]] != owner[at[:-1]]]
+                if not first.all():
+                    waiting[r] = [at[~first]]
+                    heapq.heappush(queue, r)
+                at = at[first]
+            elif len(at) > 1 and (self.pair[r] >> _SHIFT) == (self.pair[r] & ((1 << 20) - 1)):
+                fresh = np.r_[True, after[at[:-1]] != at[1:]]
+                run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            symbol[at], live[gone], rank[gone] = self.made[r], False, _NONE
+            after[at] = after[gone]
+            follows = after[at] < n
+            before[after[at[follows]]] = at[follows]
+            ahead = before[at]
+            look_up(np.unique(np.concatenate([at, ahead[ahead >= 0]])))
+        return symbol[live], owner[live]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids (little-endian, 32 bits) of runs without white space."""
         order = list(chunks)
-        cut = [self.words(self.normalise(c)) for c in order]
+        plain = [c.lower() if c.isascii() else self.normalise(c) for c in order]
+        cut = [(c.encode(),) if self.letters_are_words and c.isalpha() else self.words(c) for c in plain]
         distinct = list({w for words in cut for w in words})
-        ids = {w: x.astype("<u4").tobytes() for w, x in zip(distinct, self.merge(distinct), strict=True)} if distinct else {}
-        return {c: b"".join([ids[w] for w in words]) for c, words in zip(order, cut, strict=True)}
+        ids = dict(zip(distinct, self.merge(distinct), strict=True))
+        return {c: ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for c, words in zip(order, cut, strict=True)}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -253,7 +339,10 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def round_trip(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them.
 
-    Both directions run in one map, so neither ids nor decoded texts travel.
+    Both directions run in one map, so neither ids nor decoded texts travel.  Whole
+    texts count at any length; a null or empty text has no tokens and the digests of
+    nothing.  Repeated rows have equal results, other columns are left out, and an empty
+    table gives an empty result.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 

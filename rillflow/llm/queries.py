@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, linededup, neardup, quality, rules, suffix, toxicity, urls, warc
 
-#: Where the public tokenizers' vocabulary files lie; they are never copied into this repository.
-TOKENIZERS = os.environ.get("RILLFLOW_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary of op6 and of the pipeline's last stage; the file is never copied into this repository.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_vocabulary(f"{TOKENIZERS}/word_bpe_49k.json"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_vocabulary(VOCABULARY))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

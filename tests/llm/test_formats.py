@@ -3,16 +3,16 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rillflow.llm import bpe, urls, warc
-from rillflow.llm.queries import QUERIES, TOKENIZERS
+from rillflow.llm.queries import QUERIES, VOCABULARY as PATH
 
 SF = "/root/testdata/sf0.001"
-PATH = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def pages_brute(rows):
@@ -71,12 +71,25 @@ def test_codec_equals_the_library():
     assert codec.encode([None]) == [b""]
 
 
-def test_codec_merges_one_at_a_time_alike():
+def test_codec_merges_one_at_a_time_alike(monkeypatch):
     codec = bpe.Codec(bpe.read_vocabulary(PATH))
-    words = [b"aaaaaaa", b"thethe", b"hello", b"x", b"abababab"]
-    at_once = [x.tolist() for x in codec.merge(words)]
-    codec.at_once = False
-    assert [x.tolist() for x in codec.merge(words)] == at_once
+    words = [b"aaaaaaa", b"thethe", b"hello", b"x", b"abababab", b"there" * 9]
+    want = codec.merge(words)
+    for at_once, long in ((False, 256), (True, 1), (False, 1)):
+        monkeypatch.setattr(bpe, "LONG_WORD", long)
+        codec.at_once = at_once
+        assert codec.merge(words) == want
+
+
+def test_words_of_megabytes():
+    codec, library = bpe.Codec(bpe.read_vocabulary(PATH)), Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (257, 30_000, 3_000_000)] + ["a" * 1_000_001, "ab" * 200_000]
+    began = time.process_time()
+    got = codec.encode(texts)
+    assert time.process_time() - began < 60
+    for text, ids in zip(texts, got, strict=True):
+        assert b"".join(x.to_bytes(4, "little") for x in library.encode(text, add_special_tokens=False).ids) == ids
 
 
 def test_encode_and_decode_tables(spark):
