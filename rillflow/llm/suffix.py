@@ -183,7 +183,8 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH) -> DataFrame:
     Strings are judged on the input, in the same text and in all others; overlapping
     ones count.  A null text counts as empty.  A repeated row (same id and text)
     repeats all of its strings, so nothing of it stays if it has ``length`` bytes.
-    An empty table gives an empty result; other columns are left out.
+    Whole texts count at any length.  An empty table gives an empty result; other
+    columns are left out.
     """
     spans = store(repeated_spans(documents.select("doc_id", "text"), length=length).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
@@ -217,5 +218,6 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
 
 def repeat_report(documents: DataFrame) -> DataFrame:
-    """``remove_repeats`` with the digest of the remaining bytes."""
-    return remove_repeats(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """``remove_repeats`` with the digest of the remaining bytes, and whether any were removed."""
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return remove_repeats(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", digest, (F.col("n_removed") > 0).alias("has_repeats"))
