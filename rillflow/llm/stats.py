@@ -116,7 +116,7 @@ def text_stats(slab: Slab) -> tuple[dict[str, np.ndarray], np.ndarray]:
             np.log1p(n_words), base["word_chars"] / w, count["symbol"] / w, n_dup_lines / np.maximum(n_lines, 1), n_repeat / w,
             count["upper"] / letters, count["digit"] / c, count["space"] / c, count["high"] / c, count["punctuation"] / w,
             count["bang"] / w, count["pipe"] / w, count["stop"] / w, count["comma"] / w, np.bincount(words.text[first], minlength=n) / w,
-            np.minimum(longest, 1000), sums(length <= 2) / w, n_words / np.maximum(n_lines, 1), np.log1p(n_lines), most / w,
+            np.log1p(longest), sums(length <= 2) / w, n_words / np.maximum(n_lines, 1), np.log1p(n_lines), most / w,
         ],
         axis=1,
     ).astype(np.float64)

@@ -62,18 +62,53 @@ def test_quality_on_the_held_out_fold(spark):
     assert (fold.quality == fold.predicted).mean() > 0.9
 
 
-def test_toxicity_on_the_held_out_fold(spark):
-    scores, fold = held_out(spark, "op9_toxicity", "toxic")
-    assert scores.count() == 1000
-    assert (fold.toxic == fold.predicted).mean() > 0.85
-
-
-def test_toxicity_on_few_labelled_rows(spark):
-    small = "/root/testdata/sf0.001"
-    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic")
-    rows = QUERIES["op9_toxicity"](spark, small).join(labels, "doc_id").toPandas()
-    toxic, clean = rows[rows.toxic == 1].score, rows[rows.toxic == 0].score
-    assert toxic.mean() > clean.mean() + 0.2
+def auc(score, label):
+    order = np.argsort(np.argsort(score))
+    ones = label == 1
+    return (order[ones].sum() - ones.sum() * (ones.sum() - 1) / 2) / (ones.sum() * (~ones).sum())
+
+
+@pytest.mark.parametrize(("folder", "least"), [("sf0.001", 0.9), ("sf0.01", 0.9), ("sf0.1", 0.9)])
+def test_toxicity_on_the_held_out_fold(spark, folder, least):
+    scores = QUERIES["op9_toxicity"](spark, f"/root/testdata/{folder}")
+    labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet").select("doc_id", "toxic")
+    rows = scores.join(labels, "doc_id").toPandas()
+    fold = rows[rows.held_out]
+    assert auc(fold.score.to_numpy(), fold.toxic.to_numpy()) >= least and rows.score.nunique() > 0.5 * len(rows)
+    assert rows[rows.toxic == 1].score.mean() > rows[rows.toxic == 0].score.mean() + 0.2
+    if len(fold) > 50:
+        assert (fold[fold.toxic == 1].predicted == 1).mean() >= 0.6
+        assert (fold[fold.toxic == 0].predicted == 0).mean() >= 0.95
+
+
+def test_rules_obey_their_constraints(spark):
+    """The trees of the registered query: a rise of a falling feature, others as they are, never raises a score."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    x, y = quality.labelled_features(docs, labels, "quality", 2000)
+    forest = rules.fit(docs, labels)
+    for name in rules.FALLING:
+        j = FEATURES.index(name)
+        grid = np.repeat(x[:60], 50, axis=0)
+        grid[:, j] = np.tile(np.quantile(x[:, j], np.linspace(0, 1, 49)).tolist() + [x[:, j].max() * 10 + 1], 60)
+        assert (np.diff(forest.margin(grid).reshape(60, 50), axis=1) <= 1e-9).all(), name
+
+
+def test_constraints_bind_where_labels_reward_noise(spark):
+    """Labels that call noisy texts good: the free trees learn that, the constrained ones may not, so noise never gets a text kept."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    texts = [" ".join([word() for _ in range(80)] + ["#"] * (40 * (i % 2))) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    free, bound = quality.fit(docs, labels), rules.fit(docs, labels)
+    clean = [" ".join(word() for _ in range(80)) for _ in range(20)]
+    noisy = [t + " #" * 40 for t in clean]
+    score = lambda forest, part: forest.score(quality.features(pa.array(part)))
+    assert (score(free, noisy) > score(free, clean) + 0.3).all()
+    x = quality.features(pa.array(clean))
+    padded = x.copy()
+    padded[:, FEATURES.index("symbols_per_word")] += 1.0
+    assert (bound.score(padded) <= bound.score(x) + 1e-12).all()
 
 
 def test_rules_query(spark):
@@ -99,7 +134,7 @@ def test_unseen_misspellings_share_n_grams():
     toxic = ["you are an idiot here", "such an idioot said", "what idiott talk", "idiotic and idiot words"] * 8
     clean = ["you are a friend here", "such a teacher said", "what pleasant talk", "kind and plain words"] * 8
     rows = [(k, s) for _, k, s in toxicity.bags(pa.array(toxic + clean))]
-    model = toxicity.train(rows, np.array([1.0] * 32 + [0.0] * 32), errors=3.0)
+    model = toxicity.train(rows, np.array([1.0] * 32 + [0.0] * 32))
     a, b = toxicity.scores(pa.array(["an idiotx came", "a gardener came"]), model)
     assert a > 0.5 > b
     assert pytest.approx(toxicity.scores(pa.array([None, ""]), model)[0]) == toxicity.scores(pa.array([None, ""]), model)[1]
