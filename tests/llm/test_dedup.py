@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillflow.llm import decontam, joins, linededup, neardup, suffix
@@ -259,3 +260,87 @@ def test_decontamination_of_short_and_long_items(spark, m):
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
     got = {r.doc_id: r["items"] for r in decontam.find_items(docs, bench).collect()}
     assert [i for i in range(180) if i % 60 not in got[i]] == []
+
+
+@pytest.mark.parametrize("m", [8, 16, 40, 100, 200])
+def test_decontamination_of_paraphrases(spark, m):
+    """Items with two fifths of their common words exchanged and words put between, the rare ones kept: at least 0.9 are found."""
+    rng = np.random.default_rng(m)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(4000)])
+    odds = 1 / np.arange(20, 4020)
+    some = lambda n: rng.choice(vocabulary, n, p=odds / odds.sum()).tolist()
+    items, rows = [], []
+    for i in range(100):
+        item = some(m)
+        rare = rng.choice(m, max(1, min(6, m // 4)), replace=False)
+        for j, k in enumerate(rare):
+            item[k] = f"name{i}x{j}"
+        items.append(item)
+        said = []
+        for k, w in enumerate(item):
+            said += [some(1)[0] if k not in rare and rng.random() < 0.4 else w] + some(int(rng.random() < 0.1))
+        t, p = some(300), int(rng.integers(301))
+        rows.append((i, " ".join(t[:p] + said + t[p:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.find_items(docs, bench).collect()}
+
+    # the rule itself on each whole text, with the corpus's own weights
+    weight, _ = decontam.corpus_statistics(docs)
+    hashed = lambda texts: [decontam._word_hashes(x)[0] for t in texts for x in decontam._lower_slabs(pa.array([t]))]
+    rules = [decontam.masks_and_answers(w, weight) for w in hashed([" ".join(t) for t in items])]
+    held = lambda i: decontam.is_held(*rules[i], m, hashed([rows[i][1]])[0].tolist())
+    want = [i for i in range(100) if held(i)]
+    assert len(want) >= 50
+    assert sum(i in got[i] for i in want) >= 0.9 * len(want)
+    assert sum(bool(set(got[i]) - {i}) for i in range(100)) <= 2
+
+
+def test_decontamination_prefilter_is_implied():
+    """The count of a stretch's words that are the item's is never below the common subsequence, also with repeated words."""
+    rng = np.random.default_rng(3)
+    items = [rng.integers(0, 6, int(rng.integers(1, 12))).astype(np.uint64) for _ in range(40)]
+    held = np.unique(np.concatenate([decontam._held_key(w, np.full(len(w), k)) for k, w in enumerate(items)]))
+    h = rng.integers(0, 9, 500).astype(np.uint64)
+    lo = rng.integers(0, 400, 200)
+    hi, item = lo + rng.integers(0, 60, 200), rng.integers(0, 40, 200)
+    got = decontam._words_held(h, lo, hi, item, held, step=7)
+    for a, b, k, n in zip(lo, hi, item, got, strict=True):
+        assert n == sum(int(x) in set(items[k].tolist()) for x in h[a:b])
+        masks = {}
+        for i, w in enumerate(items[k].tolist()):
+            masks[w] = masks.get(w, 0) | 1 << i
+        assert decontam.common_subsequence(masks, len(items[k]), h[a:b].tolist()) <= n
+
+
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", 7)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(25)] for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join([word() for _ in range(30)] + items[i] + items[(i + 1) % 30]), "t") for i in range(30)], "doc_id long, text string, items string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert len(list(decontam.read_items(bench))) > 2
+    got = {r.doc_id: r["items"] for r in decontam.find_items(docs, bench).collect()}
+    assert got == {i: sorted({i, (i + 1) % 30}) for i in range(30)}
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes in one row, by decontamination, line dedup and repeats."""
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**5)}" for _ in range(300_000)]
+    item = [f"item{i}" for i in range(30)]
+    df = spark.createDataFrame([(1, " ".join(long[:150_000] + item + long[150_000:]), "s"), (2, " ".join(long[:100]), "t"), (3, "x" * 1_000_000, "u")], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontam.find_items(df, bench).collect()} == {1: [5], 2: [], 3: []}
+    assert {r.doc_id: r.n_removed for r in linededup.remove_boilerplate(df).collect()} == {1: 0, 2: 0, 3: 0}
+    short = len(" ".join(long[:100]))
+    assert {r.doc_id: r.n_removed for r in suffix.remove_repeats(df).collect()} == {1: short, 2: short, 3: 1_000_000}
+
+
+def test_repeats_query(spark):
+    """The registered query at its own length of 400 bytes."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = QUERIES["op10_suffix_dedup"](spark, SF)
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == repeats_brute(rows, 400)
