@@ -60,8 +60,8 @@ def remove_boilerplate(documents: DataFrame, *, site: str = "source", min_sites:
     Lines are compared without spaces, tabs and carriage returns at their ends; blank
     lines are never boilerplate and are not counted.  A null site counts for no site.
     A null text stays null with 0 lines; repeated rows (same id and text) are one
-    document; an empty table gives an empty result.  Columns named n_lines or
-    n_removed are replaced, others pass through.
+    document; an empty table gives an empty result.  Whole texts and lines count at any
+    length.  Columns named n_lines or n_removed are replaced, others pass through.
     """
     found = store(boilerplate(documents, site=site, min_sites=min_sites), "boilerplate")
     bad = (

@@ -38,7 +38,8 @@ def judge(documents: DataFrame, forest: Forest, *, threshold: float = 0.3) -> Da
 
     ``base_failed``: under 50 words, or more than half of the words in repeated 3-word
     windows.  ``kept``: not base_failed and score >= threshold.  A null or empty text
-    has no words and so fails; repeated rows are judged alike.
+    has no words and so fails; repeated rows are judged alike; an empty table gives an
+    empty result; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,9 +17,12 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests on one machine) a local one."""
+    """The cluster's shared folder, which ``spark.checkpoint.dir`` names; with a local master, if none is set, a temporary one."""
     folder = spark.conf.get(_KEY, None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{_KEY} must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="rillflow-")
         spark.conf.set(_KEY, folder)
     return folder.rstrip("/")

@@ -75,8 +75,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame) -> D
 
     ``listed`` has one column, ``url``, of canonical URLs to block where no rule fits;
     null or empty ones are ignored.  A null url has an empty host and path and no
-    listed form, so it is allowed unless a rule fits.  Repeated rows are judged alike;
-    with an empty list or without rules the other part decides.
+    listed form, so it is allowed unless a rule fits.  Urls of any length are judged
+    whole.  Repeated rows are judged alike; with an empty list or without rules the other
+    part decides; an empty table gives an empty result.  Other columns of both tables,
+    also such with the names of the result's, are left out.
     """
     listed = store(listed.select("url").where(F.coalesce(F.col("url") != "", F.lit(False))).distinct(), "listed-urls")
     blocks = max(1, -(-listed.count() * BITS_PER_URL // BLOCK_BITS))
@@ -108,7 +110,10 @@ RULES = (
 
 
 def spam_urls(pages: DataFrame) -> DataFrame:
-    """Canonical URLs of pages whose html is marked by runs of symbols (``***``, ``%%%`` or ``!!``)."""
+    """Canonical URLs of pages whose html is marked by runs of symbols (``***``, ``%%%`` or ``!!``).
+
+    A stand-in for an outside block list, which the tables don't have; ``filter_urls`` takes any.
+    """
     spam = F.col("html").contains("***") | F.col("html").contains("%%%") | F.col("html").contains("!!")
     return pages.where(spam).select(canonical(*host_and_path(F.col("url"))).alias("url"))
 

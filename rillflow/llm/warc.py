@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import salted_join
 from .scratch import new_folder, store
 
 SEGMENT_BYTES = 16 << 10
@@ -107,14 +108,19 @@ def write_archives(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, leas
 
     Payloads under ``least_bytes`` are never revisits.  A null html is an empty payload, a
     null url an empty target.  Rows without an id are responses.  A repeated row of the
-    smallest id is a response again.  No rows: files without pages, or none.
+    smallest id is a response again.  No rows: files without pages, or none.  Other
+    columns are left out.  ``folder`` is an URI that pyarrow opens on every executor
+    (file on a shared disk, hdfs, s3, gs).  A task holds one whole payload at a time, at
+    any length; nothing is deleted, the archives are the result.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     rows = pages.select("page_id", "url", _payload(F.col("html")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     narrow = rows.where(F.col("page_id").isNotNull() & (F.length("payload") >= least_bytes)).select("page_id", "digest")
     firsts = store(narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first"), "first-pages")
-    revisits = store(narrow.join(firsts, "digest").where("page_id > first").distinct(), "revisits")
+    # one payload may be a third of all pages, so hot digests are dealt out by page
+    narrow = store(narrow, "page-digests")
+    revisits = store(salted_join(narrow, firsts, "digest", spread="page_id").where("page_id > first").distinct(), "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -249,7 +255,10 @@ def read_archives(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
     """A row per page record: page_id, payload_bytes, payload_digest, record_type, refers_to, problem, payload.
 
     ``payload`` is null for revisits, for damaged records (``problem`` says what is wrong:
-    segments, no end, length, framing or digest) and with ``payloads`` off.
+    segments, no end, length, framing or digest) and with ``payloads`` off.  A row of the
+    manifest is read as often as it is there; a segment read twice makes its record
+    damaged ("segments").  A record without a page id has a null one; an empty manifest
+    gives an empty result.  A task holds the segments of one record at a time.
     """
     out = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("problem", pa.string()), ("payload", pa.binary())])
     parts = _parts(manifest)
