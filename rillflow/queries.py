@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from .errors import InvalidMessageError
 from .functions import types as ty
 from .functions.codecs import SchemaRegistry
-from .functions.message import to_messages
+from .functions.message import from_kafka, to_messages
 from .operators import grouped, rowwise
 from .operators.grouped import Accumulator, KVAccumulator, SlidingWindow, TumblingWindow
 from .plans.graph import Pipeline, branch, streaming_source
 from .plans.steps import Batch, BatchParser, DevNullSink, FlatMap, HeadersFilter, Map, ParquetSerializer, Parser, PredicateFilter, Reducer, Serializer, StreamSink, Unbatch
 from .plans.translate import Translator
 from .sources.inputs import Inputs
+from .sources.sinks import KafkaOutputs
+from .streaming.run import write
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,3 +344,152 @@ def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = to_messages(table(spark, sf_dir, "documents"), F.lit("doc"), offset=F.col("doc_id"))
     out, _ = rowwise.map_messages(a.unionByName(b), F.col("payload"))
     return out.groupBy(F.col("payload").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id AS id, '{"at":"' || strftime(ts, '%Y/%m/%d %H:%M') || '","note":null}' AS spark_style, '{"at": "' || strftime(ts, '%d.%m.%Y %H:%M:%S') || '", "note": null}' AS python_style FROM events""")
+def serializer_dt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times in a format of the step's own, in both JSON styles."""
+    body = Map("pick", F.struct(F.col("payload.at"), F.lit(None).cast("string").alias("note")))
+    ends = [branch("a").apply(Serializer("spark", "yyyy/MM/dd HH:mm")).sink(StreamSink("spark-sink", "a")), branch("b").apply(Serializer("python", "%d.%m.%Y %H:%M:%S", "python")).sink(StreamSink("python-sink", "b"))]
+    out = outputs(spark, streaming_source("source", "events").apply(body).broadcast("both", ends), events(spark, sf_dir, F.struct(F.col("ts").cast("timestamp").alias("at"))))
+    a, b = (out[f"{n}-sink"].select(F.col("src_offset").alias("id"), text().alias(f"{n}_style")) for n in ("spark", "python"))
+    return a.join(b, "id")
+
+
+@query("SELECT event_id // 1000 AS batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, min(event_type) AS first_type, max(value) AS top FROM events GROUP BY 1")
+def parquet_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches as Parquet files, read back whole."""
+    fields = {"event_id": ty.Int64(), "event_type": ty.String(), "value": ty.Float64()}
+    p = streaming_source("source", "events").apply(Batch("thousands", batch_size=1000)).apply(ParquetSerializer("file", fields, "gzip")).sink(StreamSink("sink", "out"))
+    out = outputs(spark, p, events(spark, sf_dir, F.struct("event_id", "event_type", "value")))["sink"]
+
+    def read(frames):
+        import io
+
+        import pandas as pd
+        import pyarrow.parquet as pq
+
+        for frame in frames:
+            for o, data in zip(frame["src_offset"], frame["payload"], strict=True):
+                table = pq.read_table(io.BytesIO(bytes(data))).to_pandas()
+                yield pd.DataFrame({"batch": o // 1000, "event_id": table["event_id"], "event_type": table["event_type"], "value": table["value"]})
+
+    rows = out.select("src_offset", "payload").mapInPandas(read, "batch bigint, event_id bigint, event_type string, value double")
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.min("event_type").alias("first_type"), F.max("value").alias("top"))
+
+
+class ByType(grouped.GroupBy):
+    def get_group_by_key(self, payload):
+        return payload["event_type"]
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def group_by_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by the key that an object gives."""
+    p = streaming_source("source", "events").apply(Reducer("count", TumblingWindow(window_timedelta=24 * HOUR), {"n": F.count(F.lit(1))}, group_by_key=ByType())).sink(DevNullSink("sink"))
+    out = outputs(spark, p, events(spark, sf_dir))["sink"]
+    return out.select(F.col("group_key").alias("event_type"), F.col("window_start").cast("timestamp_ntz").alias("day"), "payload.n")
+
+
+@query("""SELECT min(event_id) AS first, count(*) AS n FROM
+(SELECT event_id, span, (row_number() OVER (PARTITION BY span ORDER BY event_id) - 1) // 20 AS batch
+ FROM (SELECT event_id, epoch_us(ts - (SELECT min(ts) FROM events)) // 3600000000 AS span FROM events)) GROUP BY span, batch""")
+def batch_size_or_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of twenty or of an hour, whichever comes first."""
+    p = streaming_source("source", "events").apply(Batch("batch", batch_size=20, batch_timedelta=HOUR)).sink(StreamSink("sink", "out"))
+    return outputs(spark, p, events(spark, sf_dir))["sink"].select(F.col("src_offset").alias("first"), F.size("payload").cast("bigint").alias("n"))
+
+
+@query("""SELECT batch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM
+(SELECT event_id, (row_number() OVER (ORDER BY event_id % 4, event_id // 4) - 1) // 100 AS batch FROM events) GROUP BY 1""")
+def batch_over_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of a stream of four partitions, each with offsets of its own that the others repeat."""
+    m = events(spark, sf_dir).withColumns({"src_partition": (F.col("src_offset") % 4).cast("int"), "src_offset": F.expr("src_offset div 4")})
+    p = streaming_source("source", "events").apply(Batch("hundreds", batch_size=100)).sink(StreamSink("sink", "out"))
+    ids = F.aggregate("payload", F.lit(0).cast("bigint"), lambda a, x: a + x["event_id"])
+    out = outputs(spark, p, m)["sink"].select("src_partition", "src_offset", F.size("payload").cast("bigint").alias("n"), ids.alias("ids"))
+    starts = grouped.numbered(m, keys=()).select(F.col("src_partition").alias("p"), F.col("src_offset").alias("o"), F.expr("_n div 100").alias("batch"))
+    return out.join(starts, (F.col("src_partition") == F.col("p")) & (F.col("src_offset") == F.col("o"))).select("batch", "n", "ids")
+
+
+@query("""SELECT window_number, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM
+(SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS window_number FROM events WHERE user_id % 3 = 0) GROUP BY 1""")
+def count_window_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of fifty messages after a filter, so that offsets have gaps."""
+    p = streaming_source("source", "events").apply(PredicateFilter("third", F.col("payload.user_id") % 3 == 0)).apply(Reducer("sum", TumblingWindow(50), {"n": F.count(F.lit(1)), "ids": F.sum("payload.event_id")})).sink(DevNullSink("sink"))
+    return outputs(spark, p, events(spark, sf_dir))["sink"].select("window_number", "payload.n", "payload.ids")
+
+
+@query("""SELECT user_id, min(ts) AS session_start, count(*) AS n FROM
+(SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM
+ (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+GROUP BY user_id, session""")
+def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user that end after six hours without a message."""
+    out = grouped.reduce_messages(events(spark, sf_dir), grouped.SessionWindow(6 * HOUR), {"n": F.count(F.lit(1))}, group_by={"user_id": F.col("payload.user_id")})
+    return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("session_start"), "payload.n")
+
+
+@query("""SELECT event_type, date_trunc('hour', ts) AS hour, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS top, event_type || ':' || (max(value) > 40) AS alert FROM events GROUP BY 1, 2""")
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two aggregates of a window side by side, and a map that turns them into an alert."""
+    keyed = {"event_type": F.col("payload.event_type")}
+    reduce = Reducer("stats", TumblingWindow(window_timedelta=HOUR), {"p95": F.percentile("payload.value", 0.95), "top": F.max("payload.value")}, group_by_key=keyed)
+    alert = Map("alert", F.struct("payload.*", F.concat("event_type", F.lit(":"), (F.col("payload.top") > 40).cast("string")).alias("alert")))
+    out = outputs(spark, streaming_source("source", "events").apply(reduce).apply(alert).sink(DevNullSink("sink")), events(spark, sf_dir))["sink"]
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("hour"), F.round("payload.p95", 6).alias("p95"), "payload.top", "payload.alert")
+
+
+@query("SELECT event_id // 40 AS batch, count(*) AS n FROM events GROUP BY 1")
+def configured_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings override what the step says."""
+    p = streaming_source("source", "events").apply(Batch("batch", batch_size=7)).sink(StreamSink("sink", "out"))
+    out = outputs(spark, p, events(spark, sf_dir), config={"steps_config": {"batch": {"batch_size": 40}}})["sink"]
+    return out.select(F.expr("src_offset div 40").alias("batch"), F.size("payload").cast("bigint").alias("n"))
+
+
+class Shout:
+    @staticmethod
+    def loud(message) -> str:
+        return message.payload["event_type"].upper()
+
+
+@query("SELECT event_id AS id, upper(event_type) AS body FROM events")
+def string_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function by its name."""
+    p = streaming_source("source", "events").apply(Map("loud", "rillflow.queries.Shout.loud")).sink(StreamSink("sink", "out"))
+    return outputs(spark, p, events(spark, sf_dir))["sink"].select(F.col("src_offset").alias("id"), F.col("payload").alias("body"))
+
+
+@query("""SELECT event_id AS "offset", CAST(user_id % 3 AS INTEGER) AS "partition", ts AS at, 'events' AS schema, CASE WHEN user_id % 5 = 0 THEN 0 ELSE length(event_type) END AS bytes, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS headers FROM events""")
+def kafka_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the layout of Spark's Kafka source as messages: null values and header values become empty bytes."""
+    header = F.array(F.struct(F.lit("h").alias("key"), F.lit(None).cast("binary").alias("value")))
+    rows = table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 5 != 0, F.col("event_type").cast("binary")).alias("value"),
+        F.when(F.col("user_id") % 2 == 0, header).alias("headers"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("event_id").alias("offset"),
+        (F.col("user_id") % 3).cast("int").alias("partition"),
+    )
+    m = from_kafka(rows, "events")
+    whole = F.forall("headers", lambda h: F.octet_length(h["value"]) == 0)
+    return m.where(whole).select(F.col("src_offset").alias("offset"), F.col("src_partition").alias("partition"), F.col("timestamp").cast("timestamp_ntz").alias("at"), "schema", F.octet_length("payload").cast("bigint").alias("bytes"), F.size("headers").alias("headers"))
+
+
+@query("""SELECT CASE WHEN user_id % 4 = 0 THEN 'letters' ELSE 'out' END AS topic, CASE WHEN user_id % 4 = 0 THEN 'dead:1' ELSE 'a:1,b:2' END AS servers, event_id AS id FROM events""")
+def kafka_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes to Kafka, and with which options: a sink and the dead letters, each with servers of its own."""
+
+    def check(m):
+        if m.payload["user_id"] % 4 == 0:
+            raise InvalidMessageError("divisible by four")
+        return str(m.payload["event_id"])
+
+    p = streaming_source("source", "events", dlq_stream_name="dead").apply(Map("check", check)).sink(StreamSink("sink", "out"))
+    config = {"source": {"dlq": {"bootstrap_servers": ["dead:1"], "topic": "letters"}}, "sink": {"bootstrap_servers": ["a:1", "b:2"]}}
+    plan = Translator(Inputs({"events": events(spark, sf_dir)}), REGISTRY, {"steps_config": config}).translate(spark, p)
+    sent: list[DataFrame] = []
+    origin = F.get(F.filter("headers", lambda h: h["key"] == "src_offset"), F.lit(0))["value"].cast("string")
+    write(plan, KafkaOutputs(config, writer=lambda df, o: sent.append(df.select(F.lit(o["topic"]).alias("topic"), F.lit(o["kafka.bootstrap.servers"]).alias("servers"), F.coalesce(origin, F.col("value").cast("string")).cast("bigint").alias("id")))))
+    return sent[0].unionByName(sent[1])
