@@ -43,6 +43,10 @@ TREES = 24
 #: Of these, the first are used to connect large groups before anything else is compared.
 SETTLING_TREES = 8
 DEPTH = 3
+#: Hash buckets by which the prefix join orders shingles: 8 MB of counts, broadcast.
+COUNT_BUCKETS = 1 << 20
+#: Shingles of a prefix that goes along whole.
+SHORT_PREFIX = 64
 #: Nodes up to this size are compared exhaustively.
 SMALL_NODE = 64
 
@@ -206,34 +210,81 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, percent: int, width: int)
     x, y = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     similar = common * 100 >= (F.size("x") + F.size("y") - common) * percent
-    both = salted_join(salted_join(pairs, x, "a", spread="b"), y, "b", spread="a", hot=hot_keys(pairs, "b"))
+    both = salted_join(salted_join(pairs, x, "a", hot_keys(pairs, "a"), spread="b"), y, "b", hot_keys(pairs, "b"), spread="a")
     out = store(both.where(similar).select("a", "b"), "links")
     remove(pairs, sets)
     return out
 
 
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many documents have a shingle of each of ``COUNT_BUCKETS`` hash buckets: an array of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNT_BUCKETS, np.int64)
+        for b in batches:
+            n += np.bincount(_bucket(b.column("shingles").flatten().to_numpy()), minlength=COUNT_BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+
+    found = sets.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNT_BUCKETS, np.int64)
+    out[found["bucket"].to_numpy(np.int64)] = found["n"]
+    return out
+
+
+def _bucket(shingle: np.ndarray) -> np.ndarray:
+    return (shingle.view(np.uint64) % np.uint64(COUNT_BUCKETS)).astype(np.int64)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, rest, shingle, prefix): the shingles of each document by which a similar one can be met.
+
+    Shingles are ordered from rare to frequent buckets; any one order for all documents
+    would be right.  ``rest``: shingles from this one on that others may have, too.
+    ``prefix``: all of the document's, if they are few.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("shingles")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            value, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            times = counts.value[_bucket(value)]
+            value, owner, times = value[times >= 2], owner[times >= 2], times[times >= 2]
+            order = np.lexsort((value, times, owner))
+            value, owner = value[order], owner[order]
+            k = np.bincount(owner, minlength=len(n))
+            rest = np.cumsum(k)[owner] - np.arange(len(owner))
+            near = rest * 100 >= n[owner] * percent
+            value, owner, rest = value[near], owner[near], rest[near]
+            size = np.bincount(owner, minlength=len(n))
+            short = size[owner] <= SHORT_PREFIX
+            ends = np.r_[0, np.cumsum(np.where(size <= SHORT_PREFIX, size, 0))].astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[short])).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(owner)), pa.array(n[owner].astype(np.int64)), pa.array(rest), pa.array(value), prefix], ["doc", "n", "rest", "shingle", "prefix"])
+
+    return sets.mapInArrow(run, "doc bigint, n bigint, rest bigint, shingle bigint, prefix array<bigint>")
+
+
 def _prefix_pairs(documents: DataFrame, docs: DataFrame, low: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b) pairs of ``docs`` (doc, colour) that agree and may be similar: an exact prefix and position filter.
 
-    Shingles are ordered from rare to frequent.  Similar sets share a shingle so early
-    that what follows it in both suffices for the overlap they need.  Shingles of one
-    document only come first and match nothing, so that edited copies, whose own
-    shingles fill their prefixes, meet hardly anybody.
+    Similar sets share a shingle so early in the order from rare to frequent that what
+    follows it in both suffices for the overlap they need.  Shingles of one document
+    only match nothing, so that edited copies, whose own shingles fill their prefixes,
+    meet hardly anybody.  A pair meets at the first shingle that short prefixes share.
     """
     sets = _sets(documents, docs.select(F.col("doc").alias("doc_id")), width)
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.join(docs, "doc").repartition(parts).select("doc", "colour", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    ranked = rows.join(shared, "shingle").groupBy("doc", "colour", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
-    prefix = ranked.select("doc", "colour", "n", F.size("common").alias("k"), F.posexplode("common").alias("i", "c")).select("doc", "colour", "n", (F.col("k") - F.col("i")).alias("rest"), F.col("c.shingle").alias("shingle"))
-    prefix = store(prefix.where(F.col("rest") * 100 >= F.col("n") * percent).join(low, "doc"), "prefixes")
+    prefix = store(_prefixes(sets, percent).join(docs, "doc").join(low, "doc"), "prefixes")
     remove(sets)
-    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "colour", "n", "rest", "bytes"))) for k in "xy")
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "colour", "n", "rest", "bytes", "prefix"))) for k in "xy")
     enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
-    enough &= _sizes_fit(F.col("n_x"), F.col("n_y"), percent) & (F.col("doc_x") != F.col("doc_y"))
-    plain = x.where("colour_x is null").join(y, "shingle").where(enough)
+    enough &= _sizes_fit(F.col("n_x"), F.col("n_y"), percent)
+    enough &= (F.size("prefix_x") == 0) | (F.size("prefix_y") == 0) | (F.get(F.array_intersect("prefix_x", "prefix_y"), F.lit(0)) == F.col("shingle"))
+    plain = x.where("colour_x is null").join(y, "shingle").where(enough & ((F.col("doc_x") < F.col("doc_y")) | F.col("colour_y").isNotNull()))
     several = prefix.where("colour is not null").groupBy("shingle").agg(F.min("colour").alias("c1"), F.max("colour").alias("c2")).where("c1 < c2").select("shingle")
-    mixed = x.where("colour_x is not null").join(several, "shingle", "left_semi").join(y.where("colour_y is not null"), "shingle").where(enough & (F.col("colour_x") != F.col("colour_y")))
+    mixed = x.where("colour_x is not null").join(several, "shingle", "left_semi").join(y.where("colour_y is not null"), "shingle").where(enough & (F.col("doc_x") < F.col("doc_y")) & (F.col("colour_x") != F.col("colour_y")))
     pairs = plain.unionByName(mixed).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b"), F.col("bytes_x").alias("x"), F.col("bytes_y").alias("y"))
     return _agreeing(pairs, percent).distinct()
 
@@ -249,31 +300,30 @@ def settle(documents: DataFrame, signed: DataFrame, percent: int, width: int) ->
     rows = store(_branch(signed.select(F.col("rep").alias("doc"), "n", "bytes", "tokens"), percent / 100, trees=range(SETTLING_TREES)), "settling-nodes")
     pivot = F.min(F.struct("doc", "n", "bytes")).alias("pivot")
     nodes = store(rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), pivot).where("m >= 2").drop("m"), "pivots")
-    stars = salted_join(rows, nodes, "node", spread="doc").where((F.col("doc") != F.col("pivot.doc")) & _sizes_fit(F.col("n"), F.col("pivot.n"), percent))
+    stars = salted_join(rows, nodes, "node", hot_keys(rows, "node"), spread="doc").where((F.col("doc") != F.col("pivot.doc")) & _sizes_fit(F.col("n"), F.col("pivot.n"), percent))
     pairs = stars.select(F.col("pivot.doc").alias("a"), F.col("pivot.bytes").alias("x"), F.col("doc").alias("b"), F.col("bytes").alias("y"))
     links = _confirmed(documents, _agreeing(pairs, percent).distinct(), percent, width)
     remove(rows, nodes)
     return links
 
 
-def _coloured(docs: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """``docs`` with ``colour``, the component that the links so far put each ``doc`` in (null: none)."""
-    if not links:
+def _coloured(docs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``docs`` with ``colour``, the component that is known of each ``doc`` (null: none)."""
+    if known is None:
         return docs.withColumn("colour", F.lit(None).cast("bigint"))
-    found = components(reduce(DataFrame.unionByName, links))
-    return docs.join(found.select(F.col("v").alias("doc"), F.col("component").alias("colour")), "doc", "left")
+    return docs.join(known.select(F.col("v").alias("doc"), F.col("component").alias("colour")), "doc", "left")
 
 
-def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width: int) -> list[DataFrame]:
-    """Tables of (a, b) links that connect all similar classes."""
+def similar_classes(documents: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """(v, component) of all classes that are linked with others; None if there are no links."""
     similarity = percent / 100
-    links = [x for x in (settle(documents, signed, percent, width),) if x is not None]
-    rows = store(_branch(_coloured(signed.select(F.col("rep").alias("doc"), "n", "tokens"), links), similarity, trees=range(TREES)), "tree-nodes")
+    known = connect(None, settle(documents, signed, percent, width))
+    rows = store(_branch(_coloured(signed.select(F.col("rep").alias("doc"), "n", "tokens"), known), similarity, trees=range(TREES)), "tree-nodes")
     low, tokens = (signed.select(F.col("rep").alias("doc"), c) for c in ("bytes", "tokens"))
     found = []
     for level in range(DEPTH):
         nodes = store(_unsettled(rows), "unsettled-nodes")
-        left = store(salted_join(rows, nodes, "node", spread="doc"), "unsettled")
+        left = store(salted_join(rows, nodes, "node", hot_keys(rows, "node"), spread="doc"), "unsettled")
         remove(rows, nodes)
         found.append(store(_agreeing_in_nodes(left.where(F.col("m") <= SMALL_NODE).join(low, "doc"), percent), "node-pairs"))
         large = left.where(F.col("m") > SMALL_NODE)
@@ -281,16 +331,31 @@ def similar_pairs(documents: DataFrame, signed: DataFrame, percent: int, width:
             remove(left)
             break
         if level == DEPTH - 1:
-            more = _confirmed(documents, reduce(DataFrame.unionByName, found).distinct(), percent, width)
-            links += [] if more is None else [more]
-            docs = store(_coloured(large.select("doc").distinct(), links), "large-nodes")
+            known = connect(known, _confirmed(documents, reduce(DataFrame.unionByName, found).distinct(), percent, width))
+            remove(*found)
+            docs = store(_coloured(large.select("doc").distinct(), known), "large-nodes")
             remove(left)
             found = [_prefix_pairs(documents, docs, low, percent, width)]
             break
         rows = store(_branch(large.join(tokens, "doc").select("node", "doc", "n", "colour", "tokens"), similarity), "tree-nodes")
         remove(left)
-    rest = _confirmed(documents, reduce(DataFrame.unionByName, found).distinct(), percent, width)
-    return links if rest is None else [*links, rest]
+    return connect(known, _confirmed(documents, reduce(DataFrame.unionByName, found).distinct(), percent, width))
+
+
+def connect(known: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+    """(v, component) after further (a, b) links: these join the components that are known already, as if each were one document."""
+    if links is None or known is None:
+        return known if links is None else components(links)
+    for end in ("a", "b"):
+        name = known.select(F.col("v").alias(end), F.col("component").alias(f"_{end}"))
+        plain, links = links, store(salted_join(links, name, end, hot_keys(links, end), spread="b" if end == "a" else "a", how="left"), "named-links")
+        remove(plain)
+    fresh = components(links.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct())
+    root = fresh.select(F.col("v").alias("component"), F.col("component").alias("root"))
+    old = salted_join(known, root, "component", hot_keys(known, "component"), spread="v", how="left").select("v", F.coalesce("root", "component").alias("component"))
+    out = store(old.unionByName(fresh.join(known, "v", "left_anti")), "components")
+    remove(links)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -302,17 +367,18 @@ def components(links: DataFrame) -> DataFrame:
     salted.
     """
     edges = store(links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "links")
-    label = store(edges.groupBy("v").agg(F.least(F.first("v"), F.min("w")).alias("component")), "labels")
+    stored = label = store(edges.groupBy("v").agg(F.least(F.first("v"), F.min("w")).alias("component")), "labels")
     hubs = hot_keys(edges, "w")
     while True:
-        near = salted_join(edges, label.select(F.col("v").alias("w"), F.col("component").alias("other")), "w", spread="v", hot=hubs).groupBy("v").agg(F.min("other").alias("other"))
+        near = salted_join(edges, label.select(F.col("v").alias("w"), F.col("component").alias("other")), "w", hubs, spread="v").groupBy("v").agg(F.min("other").alias("other"))
         spread = label.join(near, "v").select("v", F.least("component", "other").alias("component"), F.col("component").alias("old"))
         up = label.select(F.col("v").alias("component"), F.col("component").alias("root"))
-        spread = salted_join(spread, up, "component", spread="v", hot=hot_keys(label, "component"))
+        spread = salted_join(spread, up, "component", hot_keys(label, "component"), spread="v", how="left")
         fresh = store(spread.select("v", F.least("component", "root").alias("component"), "old"), "labels")
-        changed = not fresh.where("component < old").isEmpty()
-        label = fresh.drop("old")
-        if not changed:
+        remove(stored)
+        stored, label = fresh, fresh.drop("old")
+        if fresh.where("component < old").isEmpty():
+            remove(edges)
             return label
 
 
@@ -332,9 +398,10 @@ def near_duplicates(documents: DataFrame, *, percent: int = 80, width: int = 5)
     # the low byte of each 32-bit token, as hex: every fourth pair of digits
     low = F.unhex(F.regexp_replace(F.hex("tokens"), "(..)......", "$1"))
     classes = store(rows.where(some).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")).withColumn("bytes", low), "classes")
-    links = similar_pairs(documents, classes, percent, width)
-    found = components(reduce(DataFrame.unionByName, links) if links else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
-    named = store(classes.select("n", "s1", "s2", "rep").join(found, F.col("rep") == F.col("v"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")), "class-components")
+    found = similar_classes(documents, classes, percent, width)
+    component = F.col("rep") if found is None else F.coalesce("component", "rep")
+    linked = classes.select("n", "s1", "s2", "rep") if found is None else classes.select("n", "s1", "s2", "rep").join(found, F.col("rep") == F.col("v"), "left")
+    named = store(linked.select("n", "s1", "s2", component.alias("component")), "class-components")
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.when(some, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import salted_join
+from .joins import hot_keys, salted_join
 from .scratch import new_folder, store
 
 SEGMENT_BYTES = 16 << 10
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, leas
     firsts = store(narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first"), "first-pages")
     # one payload may be a third of all pages, so hot digests are dealt out by page
     narrow = store(narrow, "page-digests")
-    revisits = store(salted_join(narrow, firsts, "digest", spread="page_id").where("page_id > first").distinct(), "revisits")
+    revisits = store(salted_join(narrow, firsts, "digest", hot_keys(narrow, "digest"), spread="page_id").where("page_id > first").distinct(), "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
