@@ -23,12 +23,12 @@ BAND = 0.2
 
 
 def _lines(documents: DataFrame, *more: str) -> DataFrame:
-    """A row per line with a visible character: (doc, pos, line hash)."""
+    """A row per line with a visible character: (doc, pos, line), the line as two 64-bit hashes of different seeds."""
     return (
         documents.select("doc_id", F.xxhash64("text").alias("text_hash"), *more, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .withColumn("line", _key(F.col("line")))
         .where(F.col("line") != "")
-        .withColumn("line", F.xxhash64("line"))
+        .withColumn("line", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")))
     )
 
 
