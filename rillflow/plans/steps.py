@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from ..functions.codecs import check_compression
@@ -208,6 +208,19 @@ class Reducer(Step):
         return Aggregate(self.name, self.window, self.aggregate_func, self.returns, self.group_by_key, self.origin, self.aggregate_backend, self.delay)
 
 
+@dataclass
+class Operator(Step):
+    """An operator of the user's own: messages in, messages out, as DataFrames.
+
+    ``function`` may use anything that Spark offers, state too (``transformWithState``);
+    then ``stateful`` is set, so that a stream runs it in a query of its own.  Envelope
+    columns that the result lacks are filled.
+    """
+
+    function: Callable[[DataFrame], DataFrame]
+    stateful: bool = False
+
+
 @dataclass
 class Router(Step):
     routing_function: Function

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -45,12 +45,13 @@ class Translator:
     "dlq" collects it.  The default is dlq where the source has dead letters, else fail.
     ``keep``: on tables, what callables return is held on the executors' disks until all
     sinks are written, so that valid and invalid messages come from the same calls.
-    ``count``: steps count what they read and refuse.
+    ``count``: steps count what they read and refuse.  ``overrides``: by kind of step, a
+    function of (step, DataFrame) that takes the place of the built-in translation.
     """
 
-    def __init__(self, inputs: Inputs, registry: SchemaRegistry | None = None, config: Mapping[str, Any] | None = None, *, on_error: str | None = None, compat_headers: bool = False, keep: bool = False, count: bool = False) -> None:
+    def __init__(self, inputs: Inputs, registry: SchemaRegistry | None = None, config: Mapping[str, Any] | None = None, *, on_error: str | None = None, compat_headers: bool = False, keep: bool = False, count: bool = False, overrides: Mapping[type[S.Step], Callable[[Any, DataFrame], DataFrame]] | None = None) -> None:
         self.inputs, self.registry = inputs, registry or SchemaRegistry()
-        self.keep, self.count = keep, count
+        self.keep, self.count, self.overrides = keep, count, dict(overrides or {})
         self.config = (config or {}).get("steps_config", {})
         self.on_error, self.compat_headers = on_error, compat_headers
 
@@ -103,6 +104,11 @@ class Translator:
     def transform(self, step: S.Step, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """One simple step on messages: (good, invalid)."""
         catch = self.policy != "fail"
+        own = next((f for kind, f in self.overrides.items() if isinstance(step, kind)), None)
+        if own is not None:
+            return self._messages(own(step, df)), None
+        if isinstance(step, S.Operator):
+            return self._messages(step.function(df)), None
         if isinstance(step, S.Map):
             return rowwise.map_messages(df, step.function, step.returns, catch=catch, drop_headers=self.compat_headers, keep=self._kept)
         if isinstance(step, S.PredicateFilter):

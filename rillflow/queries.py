@@ -18,7 +18,7 @@ from .functions.message import from_kafka, to_messages
 from .operators import grouped, rowwise
 from .operators.grouped import Accumulator, KVAccumulator, SlidingWindow, TumblingWindow
 from .plans.graph import Pipeline, branch, streaming_source
-from .plans.steps import Batch, BatchParser, DevNullSink, FlatMap, HeadersFilter, Map, ParquetSerializer, Parser, PredicateFilter, Reducer, Serializer, StreamSink, Unbatch
+from .plans.steps import Batch, BatchParser, DevNullSink, FlatMap, HeadersFilter, Map, Operator, ParquetSerializer, Parser, PredicateFilter, Reducer, Serializer, StreamSink, Unbatch
 from .plans.translate import Translator
 from .sources.inputs import Inputs
 from .sources.sinks import KafkaOutputs
@@ -493,3 +493,15 @@ def kafka_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = F.get(F.filter("headers", lambda h: h["key"] == "src_offset"), F.lit(0))["value"].cast("string")
     write(plan, KafkaOutputs(config, writer=lambda df, o: sent.append(df.select(F.lit(o["topic"]).alias("topic"), F.lit(o["kafka.bootstrap.servers"]).alias("servers"), F.coalesce(origin, F.col("value").cast("string")).cast("bigint").alias("id")))))
     return sent[0].unionByName(sent[1])
+
+
+@query("SELECT user_id, min(event_id) AS first, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
+def own_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator of the user's own between built-in steps."""
+
+    def firsts(df: DataFrame) -> DataFrame:
+        out = df.groupBy(F.col("payload.user_id")).agg(F.min("src_offset").alias("src_offset"), F.count(F.lit(1)).alias("n"))
+        return out.select(F.struct("user_id", "n").alias("payload"), "src_offset")
+
+    p = streaming_source("source", "events").apply(Operator("firsts", firsts)).apply(PredicateFilter("several", F.col("payload.n") > 1)).sink(DevNullSink("sink"))
+    return outputs(spark, p, events(spark, sf_dir))["sink"].select("payload.user_id", F.col("src_offset").alias("first"), "payload.n")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.metrics import Metrics, report
 from ..plans.graph import Pipeline
-from ..plans.steps import Aggregate, Batch, StreamSource
+from ..plans.steps import Aggregate, Batch, Operator, StreamSource
 from ..plans.translate import Plan, Translator
 from ..sources.sinks import Outputs, flush
 from ..sources.inputs import Inputs
@@ -51,7 +51,7 @@ def run_stream(spark: SparkSession, pipeline: Pipeline, translator: Translator,
     """
     source = pipeline.root
     assert isinstance(source, StreamSource)
-    stateful = any(isinstance(s.lower(), (Aggregate, Batch)) for s in pipeline.steps.values())
+    stateful = any(isinstance(s.lower(), (Aggregate, Batch)) or isinstance(s, Operator) and s.stateful for s in pipeline.steps.values())
     if stateful:
         translator.count = metrics is not None
         plan = translator.translate(spark, pipeline)
@@ -64,7 +64,7 @@ def run_stream(spark: SparkSession, pipeline: Pipeline, translator: Translator,
     def each(batch: DataFrame, i: int) -> None:
         kept = batch.persist() if len(pipeline.steps) > 3 else batch
         try:
-            bound = Translator(Inputs({source.stream_name: kept}), translator.registry, {"steps_config": translator.config}, on_error=translator.on_error, compat_headers=translator.compat_headers, keep=True, count=metrics is not None)
+            bound = Translator(Inputs({source.stream_name: kept}), translator.registry, {"steps_config": translator.config}, on_error=translator.on_error, compat_headers=translator.compat_headers, keep=True, count=metrics is not None, overrides=translator.overrides)
             plan = bound.translate(batch.sparkSession, pipeline)
             write(plan, outputs, i)
             if metrics is not None:

@@ -303,3 +303,11 @@ def test_processes_become_partitions(spark):
     p = streaming_source("source", "s").apply(Map("same", F.col("payload"))).sink(StreamSink("sink", "out"))
     plan = Translator(Inputs({"s": messages(spark, [(str(i), i) for i in range(50)])}), config=config).translate(spark, p)
     assert plan.sinks["sink"][1].rdd.getNumPartitions() == 5
+
+
+def test_overridden_steps(spark):
+    p = streaming_source("source", "s").apply(Map("upper", F.upper("payload"))).apply(Batch("b", batch_size=2)).sink(StreamSink("sink", "out"))
+    own = {Batch: lambda step, df: df.select(F.concat("payload", F.lit(f"-{step.batch_size}")).alias("payload"))}
+    plan = Translator(Inputs({"s": messages(spark, [("a", 0), ("b", 1)])}), overrides=own).translate(spark, p)
+    rows = plan.sinks["sink"][1].collect()
+    assert sorted(r.payload for r in rows) == ["A-2", "B-2"] and rows[0].headers == []
