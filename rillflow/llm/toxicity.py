@@ -122,7 +122,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, shrink: f
     """
     seen = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS) if len(rows) else np.zeros(BUCKETS)
     used = np.flatnonzero(seen >= min(least, len(y)))
-    if not len(used) or y.min() == y.max():
+    if not len(y) or not len(used) or y.min() == y.max():
         p = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     number = np.full(BUCKETS, -1)
