@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,19 +218,31 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, percent: int, width: int)
 
 
 def _shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each of ``COUNT_BUCKETS`` hash buckets: an array of fixed size."""
+    """How many documents have a shingle of each of ``COUNT_BUCKETS`` hash buckets: an array of fixed size.
+
+    At most 256 tasks send blocks of their counts, so that what is summed for a block is bounded.
+    """
+    block = COUNT_BUCKETS // 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNT_BUCKETS, np.int64)
         for b in batches:
             n += np.bincount(_bucket(b.column("shingles").flatten().to_numpy()), minlength=COUNT_BUCKETS)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
-
-    found = sets.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNT_BUCKETS, np.int64)
-    out[found["bucket"].to_numpy(np.int64)] = found["n"]
-    return out
+        some = [(k, np.flatnonzero(part), part) for k, part in enumerate(n.reshape(256, block)) if part.any()]
+        packed = [np.concatenate([at, part[at]]).astype(np.int64).tobytes() for _, at, part in some]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int32()), pa.array(packed, pa.binary())], ["block", "part"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(block, np.int64)
+        for part in group["part"]:
+            at, n = np.frombuffer(part, np.int64).reshape(2, -1)
+            total[at] += n
+        return pd.DataFrame({"block": group["block"][:1], "part": [total.tobytes()]})
+
+    out = np.zeros((256, block), np.int64)
+    for r in sets.coalesce(256).mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect():
+        out[r["block"]] = np.frombuffer(r["part"], np.int64)
+    return out.ravel()
 
 
 def _bucket(shingle: np.ndarray) -> np.ndarray:
