@@ -332,9 +332,9 @@ def parquet_serializer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS id, CAST(user_id AS SMALLINT) AS small, CAST(user_id AS VARCHAR) AS big, (user_id BETWEEN 0 AND 255) AS fits FROM events")
 def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared unsigned types, widened and checked."""
+    """Declared unsigned types, widened and checked; what the widened type can't hold is null, and doesn't fit."""
     df, user = events(spark, sf_dir), F.col("payload.user_id")
-    return df.select(F.col("src_offset").alias("id"), user.cast(ty.Uint8().spark).alias("small"), user.cast(ty.Uint64().spark).cast("string").alias("big"), ty.Uint8().valid(user).alias("fits"))
+    return df.select(F.col("src_offset").alias("id"), user.try_cast(ty.Uint8().spark).alias("small"), user.cast(ty.Uint64().spark).cast("string").alias("big"), ty.Uint8().valid(user).alias("fits"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'doc', count(*) FROM documents")
