@@ -311,3 +311,19 @@ def test_overridden_steps(spark):
     plan = Translator(Inputs({"s": messages(spark, [("a", 0), ("b", 1)])}), overrides=own).translate(spark, p)
     rows = plan.sinks["sink"][1].collect()
     assert sorted(r.payload for r in rows) == ["A-2", "B-2"] and rows[0].headers == []
+
+
+def test_callables_work_on_arrow_columns(spark):
+    """Python functions get whole Arrow columns, and in them the values that Spark's own rows have."""
+    nested = "named_struct('t', timestamp'2025-06-05 14:30:00', 'l', array(named_struct('t', timestamp'2024-01-01 00:00:00', 'd', date'2024-01-01'), null), 'm', map('a', 1.5d), 'b', cast('x' as binary), 'n', cast(null as int), 'z', cast(1.25 as decimal(5, 2)))"
+    m = messages(spark, [("a", 0), (None, 1)]).withColumn("payload", F.when(F.col("payload").isNotNull(), F.expr(nested)))
+    good, _ = rowwise.map_messages(m, lambda x: repr(x.payload))
+    want = [None if r.payload is None else r.payload.asDict(recursive=True) for r in m.orderBy("src_offset").collect()]
+    if want[0]:
+        want[0]["b"] = bytes(want[0]["b"])
+    assert [r.payload for r in good.orderBy("src_offset").collect()] == [repr(w) for w in want]
+    assert "SQL_SCALAR_ARROW" in (plan := good._jdf.queryExecution().executedPlan().toString()) or ", 250" in plan
+    # results convert as those of Spark's Python functions do
+    assert [r.payload for r in rowwise.map_messages(m, lambda x: 7)[0].collect()] == ["7", "7"]
+    when = datetime.datetime(2025, 1, 2, 3, 4)
+    assert [r.payload for r in rowwise.map_messages(m, lambda x: {"t": when, "m": {"k": 1}}, "struct<t:timestamp,m:map<string,int>>")[0].collect()] == [((when, {"k": 1}))] * 2
