@@ -88,9 +88,14 @@ def check_compression(name: str) -> str:
     return name
 
 
-def parquet_bytes(rows: list[dict[str, Any] | None], schema: pa.Schema, compression: str) -> bytes:
-    """One Parquet file without statistics; rows that are None are left out."""
+def parquet_bytes(items: pa.ChunkedArray, schema: pa.Schema, compression: str) -> bytes:
+    """One Parquet file without statistics of struct or map items, by field name; null items are left out."""
+    items = items.drop_null()
+    if pa.types.is_struct(items.type) and all(items.type.get_field_index(f.name) < 0 or items.type.field(f.name).type == f.type for f in schema):
+        table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c) for c in items.chunks], pa.schema(list(items.type)))
+        table = pa.Table.from_arrays([table.column(f.name) if f.name in table.schema.names else pa.nulls(len(items), f.type) for f in schema], schema=schema)
+    else:  # what Python values convert to
+        table = pa.Table.from_pylist(items.to_pylist(maps_as_pydicts="strict"), schema)
     out = io.BytesIO()
-    table = pa.Table.from_pylist([r for r in rows if r is not None], schema)
     pq.write_table(table, out, compression="none" if compression == "uncompressed" else compression, write_statistics=False)
     return out.getvalue()

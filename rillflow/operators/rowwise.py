@@ -6,8 +6,10 @@ else rows with an ``error`` for the dead letters.  Column expressions stay in th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.codecs import SchemaRegistry, check_compression, dumps, parquet_bytes, parse_json, to_json
-from ..functions.message import HEADERS, call, resolve
+from ..functions.message import HEADERS, call, resolve, with_column
 
 Result = tuple[DataFrame, DataFrame | None]
 
@@ -120,11 +122,41 @@ def serialize(df: DataFrame, dt_format: str | None = None, *, style: str = "spar
 
 
 def serialize_parquet(df: DataFrame, schema: T.StructType, compression: str = "snappy") -> DataFrame:
-    """Array payloads to the bytes of one Parquet file each."""
-    check_compression(compression)
-    fields = to_arrow_schema(schema)
-
-    def run(message) -> bytes:
-        return parquet_bytes(message.payload, pa.schema(fields), compression)
+    """Array payloads to the bytes of one Parquet file each; a null payload fails the query.
 
-    return df.withColumn("payload", call(run, "binary", catch=False)["value"])
+    The items go to Python as rows of their own, next to each other, so that an Arrow
+    batch is bounded by items and a task holds one message's at a time.
+    """
+    check_compression(compression)
+    fields = pa.schema(to_arrow_schema(schema))
+    others = [c for c in df.columns if c != "payload"]
+    payload = F.coalesce("payload", F.raise_error(F.lit("a Parquet file needs an array of items, not null")).cast(df.schema["payload"].dataType))
+    items = df.select(*others, F.posexplode_outer(payload).alias("_pos", "_item"))
+    first = F.coalesce(F.col("_pos") == 0, F.lit(True))
+    # the other columns go along with a message's first item only
+    items = items.select(*(F.when(first, F.col(c)).alias(c) for c in others), first.alias("_first"), "_item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, parts = None, []
+        for b in batches:
+            item, starts = b.column("_item"), np.flatnonzero(b.column("_first").to_numpy(zero_copy_only=False))
+            if not len(starts):
+                parts.append(item)
+                continue
+            if starts[0]:
+                parts.append(item.slice(0, starts[0]))
+            envelope = b.select(others)
+            heads = [envelope.take(pa.array(starts[:-1]))]
+            groups = [[item.slice(i, j - i)] for i, j in pairwise(starts.tolist())]
+            if head is not None:
+                heads, groups = [head, *heads], [parts, *groups]
+            yield from files(heads, groups)
+            head, parts = envelope.take(pa.array(starts[-1:])), [item.slice(starts[-1])]
+        if head is not None:
+            yield from files([head], [parts])
+
+    def files(heads: list[pa.RecordBatch], groups: list[list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        yield from with_column(heads, "payload", pa.array([parquet_bytes(pa.chunked_array(g), fields, compression) for g in groups], pa.binary()))
+
+    kinds = [T.StructField(c, items.schema[c].dataType) for c in others]
+    return items.mapInArrow(run, T.StructType([*kinds, T.StructField("payload", T.BinaryType())])).select(*df.columns)

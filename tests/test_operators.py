@@ -313,6 +313,31 @@ def test_overridden_steps(spark):
     assert sorted(r.payload for r in rows) == ["A-2", "B-2"] and rows[0].headers == []
 
 
+def test_parquet_files_are_built_from_single_items(spark):
+    """Items reach Python as rows, so that no Arrow batch holds many whole messages; a file's items may span Arrow batches."""
+    df = spark.range(1, 60, numPartitions=2).select(F.when(F.col("id") % 7 != 0, F.transform(F.sequence(F.lit(1), F.expr("id % 40 + 1")), lambda i: F.struct((i * 100 + F.col("id")).alias("n"), i.cast("string").alias("s"), F.timestamp_seconds(i).alias("t")))).otherwise(F.array()).alias("payload"), "id")
+    m = to_messages(df, F.col("payload"), offset=F.col("id"), timestamp=F.timestamp_seconds("id"), headers=F.array(F.struct(F.lit("h").alias("key"), F.lit(b"v").alias("value"))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        out = rowwise.serialize_parquet(m, ty.struct_of({"t": ty.Datetime("UTC"), "n": ty.Int64(), "none": ty.String()}), "zstd")
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan and "ArrowEvalPython" not in plan
+    assert out.columns == m.columns and sorted(r.src_offset for r in rows) == list(range(1, 60))
+    for r in rows:
+        k = r.src_offset
+        n = k % 40 + 1 if k % 7 else 0
+        at = [datetime.datetime.fromtimestamp(i, datetime.timezone.utc) for i in range(1, n + 1)]
+        assert pq.read_table(io.BytesIO(bytes(r.payload))).to_pydict() == {"t": at, "n": [i * 100 + k for i in range(1, n + 1)], "none": [None] * n}
+        assert [(h.key, bytes(h.value)) for h in r.headers] == [("h", b"v")]
+    with pytest.raises(Exception, match="not null"):
+        rowwise.serialize_parquet(m.withColumn("payload", F.when(F.col("src_offset") > 1, F.col("payload"))), ty.struct_of({"n": ty.Int64()})).collect()
+    with pytest.raises(Exception, match="(?i)int"):  # types aren't guessed
+        rowwise.serialize_parquet(m, ty.struct_of({"s": ty.Int64()})).collect()
+
+
 def test_callables_work_on_arrow_columns(spark):
     """Python functions get whole Arrow columns, and in them the values that Spark's own rows have."""
     nested = "named_struct('t', timestamp'2025-06-05 14:30:00', 'l', array(named_struct('t', timestamp'2024-01-01 00:00:00', 'd', date'2024-01-01'), null), 'm', map('a', 1.5d), 'b', cast('x' as binary), 'n', cast(null as int), 'z', cast(1.25 as decimal(5, 2)))"
