@@ -12,22 +12,23 @@ import pickle
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.message import _plain, call
+from ..functions.message import call, to_column, values, with_column
 
 #: The order of messages: columns, the last of them a bigint.
 ORDER = ("src_partition", "src_offset")
 #: Offsets in one numbering range.
 RANGE_ROWS = 1 << 20
-#: Accumulators that a task holds before it passes partial ones on.
-HELD_KEYS = 10_000
 
 
 class Accumulator(ABC):
@@ -214,53 +215,71 @@ def windowed(df: DataFrame, window: TumblingWindow | SlidingWindow, *, keys: Seq
 def accumulate(df: DataFrame, groups: Sequence[str], accumulator: Callable[[], Accumulator], returns: T.DataType | str) -> DataFrame:
     """One row per group: its columns and ``payload``, the merged accumulator's value.
 
-    Tasks build partial accumulators (passing them on when they hold many keys), so a
-    hot group reaches its merging task as a few pickled partials, not as rows.
+    Tasks build partial accumulators, so a hot group reaches its merging task as a few
+    pickled partials, not as rows.  A task's rows are sorted by group, so it has one
+    partial of each group and one accumulator open at a time, however many groups there are.
     """
     returns = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
-    df = df.select(*groups, "payload") if groups else df.select("payload").withColumn("_all", F.lit(0))
+    if groups:
+        df = df.sortWithinPartitions(*groups, *(c for c in ORDER if c in df.columns)).select(*groups, "payload")
+    else:
+        df = df.select(F.lit(0).alias("_all"), "payload")
     names = list(groups) or ["_all"]
-    kept = T.StructType([df.schema[n] for n in names])
+    kept = [T.StructField(n, df.schema[n].dataType) for n in names]
     make = cloudpickle.dumps(accumulator)
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new, held, cells = pickle.loads(make), {}, {}
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(*cells[k], cloudpickle.dumps(a)) for k, a in held.items()], columns=[*names, "_acc"])
-            held.clear()
-            cells.clear()
-            return out
-
-        for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
-                key = tuple(None if pd.isna(x) else x for x in row[:-1])
-                if key not in held:
-                    held[key], cells[key] = new(), row[:-1]
-                held[key] = held[key].add(_from_arrow(row[-1]))
-            if len(held) > HELD_KEYS:
-                yield flush()
-        if held:
-            yield flush()
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for data in frame["_acc"]:
-            part = pickle.loads(data)
-            total = part if total is None else total.merge(part)
-        out = frame[names].head(1).copy()
-        out["payload"] = [total.get_value()]
-        return out
-
-    partials = df.mapInPandas(partial, T.StructType([*kept, T.StructField("_acc", T.BinaryType())]))
-    out = partials.groupBy(*names).applyInPandas(merge, T.StructType([*kept, T.StructField("payload", returns)]))
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, key, total = pickle.loads(make), None, None
+        for b in batches:
+            keys, payloads = b.select(names), values(b.column("payload"))
+            if not payloads:
+                continue
+            goes_on = key is not None and key.equals(keys.slice(0, 1))
+            ended = [] if key is None or goes_on else [key]
+            data = [_pickled(total)] if ended else []
+            starts = np.flatnonzero(np.any([_changes(c) for c in keys.columns], axis=0)).tolist()
+            for lo, hi in pairwise([*starts, len(payloads)]):
+                if lo:
+                    data.append(_pickled(total))
+                if lo or not goes_on:
+                    total = new()
+                for value in payloads[lo:hi]:
+                    total = total.add(value)
+            yield from with_column([*ended, keys.take(pa.array(starts[:-1], pa.int64()))], "_acc", pa.array(data, pa.binary()))
+            key = keys.take(pa.array(starts[-1:]))
+        if key is not None:
+            yield from with_column([key], "_acc", pa.array([_pickled(total)], pa.binary()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for parts in b.column("_acc").to_pylist():
+                total = pickle.loads(parts[0])
+                for data in parts[1:]:
+                    total = total.merge(pickle.loads(data))
+                out.append(total.get_value())
+            yield from with_column([b.select(names)], "payload", to_column(out, returns))
+
+    partials = df.mapInArrow(partial, T.StructType([*kept, T.StructField("_acc", T.BinaryType())]))
+    out = partials.groupBy(*names).agg(F.collect_list("_acc").alias("_acc")).mapInArrow(merge, T.StructType([*kept, T.StructField("payload", returns)]))
     return out if groups else out.drop("_all")
 
 
-def _from_arrow(value: Any) -> Any:
-    if hasattr(value, "tolist") and not isinstance(value, (str, bytes)):
-        value = value.tolist()
-    return _plain(value)
+def _pickled(accumulator: Accumulator) -> bytes:
+    try:
+        return pickle.dumps(accumulator)
+    except Exception:  # a class that can't be imported by its name
+        return cloudpickle.dumps(accumulator)
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """True at the first value and where one differs from that before; maybe also elsewhere (NaN)."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    try:
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    except pa.ArrowNotImplementedError:  # nested keys
+        differ = [x != y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    return np.r_[True, np.asarray(differ, bool)]
 
 
 def reduce_messages(

@@ -352,3 +352,47 @@ def test_callables_work_on_arrow_columns(spark):
     assert [r.payload for r in rowwise.map_messages(m, lambda x: 7)[0].collect()] == ["7", "7"]
     when = datetime.datetime(2025, 1, 2, 3, 4)
     assert [r.payload for r in rowwise.map_messages(m, lambda x: {"t": when, "m": {"k": 1}}, "struct<t:timestamp,m:map<string,int>>")[0].collect()] == [((when, {"k": 1}))] * 2
+
+
+class Alone(grouped.Accumulator):
+    """Refuses to be merged."""
+
+    def __init__(self):
+        self.seen = []
+
+    def add(self, value):
+        self.seen.append(value)
+        return self
+
+    def get_value(self):
+        return self.seen
+
+    def merge(self, other):
+        raise AssertionError("a task has made two partials of one group")
+
+
+def test_accumulators_have_one_partial_a_task(spark):
+    """However many groups a task has; null keys and values stay null."""
+    df = spark.range(0, 36_000, numPartitions=1).select(F.expr("nullif(id % 12000, 5)").alias("k"), F.expr("nullif(id, 7)").alias("payload"), F.lit(0).alias("src_partition"), F.col("id").alias("src_offset"))
+    got = {r.k: r.payload for r in grouped.accumulate(df, ["k"], Alone, "array<bigint>").collect()}
+    assert got == {None if k == 5 else k: [None if x == 7 else x for x in (k, k + 12000, k + 24000)] for k in range(12000)}
+    some = spark.createDataFrame([(float("nan"), (1, "a"), 1), (0.0, None, 2), (-0.0, None, 3), (None, (1, "a"), 4), (float("nan"), (1, "a"), 5)], "x double, s struct<i:int,t:string>, payload long").repartition(3)
+    sums = grouped.accumulate(some, ["x", "s"], Total, "long").collect()
+    assert sorted((repr(r.x), r.s, r.payload) for r in sums) == sorted([("nan", (1, "a"), 6), ("0.0", None, 5), ("None", (1, "a"), 4)])
+    assert grouped.accumulate(some, [], Total, "long").collect()[0].payload == 15
+
+
+class Total(grouped.Accumulator):
+    def __init__(self):
+        self.n = 0
+
+    def add(self, value):
+        self.n += value
+        return self
+
+    def get_value(self):
+        return self.n
+
+    def merge(self, other):
+        self.n += other.n
+        return self
