@@ -1,17 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. One pass over all texts counts in how many passages (``PASSAGE`` words) each hashed
-   word occurs, and keeps a bounded bottom-k sample of passages by content hash.
-2. A randomised SVD of the TF-IDF matrix of the sample and at most ``BASIS_ITEMS`` items
+   word occurs.
+2. A randomised SVD of the TF-IDF matrix of all passages and at most ``BASIS_ITEMS`` items
    gives a latent basis for these, so that the share of an item that the basis holds
-   doesn't fall with the number of items: tasks multiply their rows with the range finder, blocks of the product
-   are summed by Spark, and only a features x rank matrix of fixed size reaches the driver.
-3. A second pass projects every window of every text into each basis, windows being sized
+   doesn't fall with the number of items: a second pass over all texts multiplies the passages
+   with the range finder, blocks of the product are summed by Spark, and only a features x rank
+   matrix of fixed size reaches the driver, where each block of items is added to it.
+3. A third pass projects every window of every text into each basis, windows being sized
    to the items, and takes the items whose cosine passes ``COSINE`` of the item's norm in the basis as candidates.  A candidate is confirmed on the words themselves:
    by a longest common subsequence that covers most of the item, or, for paraphrases, by
    a shorter one together with the item's answer words (its rarest ones).
 
-Neither pass shuffles texts.
+No pass shuffles texts.
 """
 
 from __future__ import annotations
@@ -24,18 +25,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import store
 from .textarrays import IS_SPACE_OR_MARK, Slab, as_array, find_words, hash_words, mix64, slabs
 
 FEATURES = 1 << 14
 RANK = 128
 PASSAGE = 16
-#: Bound of the passages that the basis is fitted on, besides the items; all passages are searched.
-SAMPLE_PASSAGES = 8192
-#: Weight of an item's row in the basis against a corpus passage's.
+#: All passages together weigh in the basis as so many, if there are more.
+CORPUS_WEIGHT = 8192
+#: Weight of an item's row in the basis against that of one of ``CORPUS_WEIGHT`` passages.
 ITEM_WEIGHT = 3.0
 #: Least cosine of a window that holds an item, as a share of the item's norm inside the basis.
 COSINE = 0.3
@@ -107,88 +107,91 @@ def read_items(benchmark: DataFrame) -> Iterator[Items]:
             yield Items(ids, words)
 
 
-def corpus_statistics(documents: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Weight of each feature (a smoothed log of passages by passages with it), and the sample's passages as features.
+def corpus_statistics(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """Weight of each feature (a smoothed log of passages by passages with it), and the number of passages.
 
-    Tasks keep only passages whose hash is under a bound that follows from the number of
-    documents (some four times the sample if each has one passage), so what they send
-    doesn't grow with their number.  Passages that end with their text may be shorter and
-    count alike.
+    Passages that end with their text may be shorter and count alike.
     """
-    bound = np.uint64(min(2**64 - 1, 4 * SAMPLE_PASSAGES * 2**64 // max(1, documents.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(FEATURES, np.int64), 0
-        best_key, best = np.empty(0, np.uint64), np.empty((0, PASSAGE), np.int32)
         for b in batches:
             for s in _lower_slabs(b.column("text")):
                 h, first = _word_hashes(s)
-                begin, text = _passages(first)
-                if not len(begin):
-                    continue
-                feature = _feature(h)
+                begin, _ = _passages(first)
                 owner = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(h)]))
-                df += np.bincount(np.unique(owner * FEATURES + feature) % FEATURES, minlength=FEATURES)
+                df += np.bincount(np.unique(owner * FEATURES + _feature(h)) % FEATURES, minlength=FEATURES)
                 total += len(begin)
-                key = mix64(np.add.reduceat(mix64(h), begin))
-                some = np.flatnonzero(key <= bound)
-                at = begin[some, None] + np.arange(PASSAGE)
-                rows = np.where(at < first[text[some] + 1, None], feature[np.minimum(at, len(h) - 1)], -1)
-                key = key[some]
-                best_key, at = np.unique(np.r_[best_key, key], return_index=True)
-                best_key, best = best_key[:SAMPLE_PASSAGES], np.concatenate([best, rows])[at[:SAMPLE_PASSAGES]]
         found = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, FEATURES]), pa.array(np.r_[df[found], total]), pa.nulls(len(found) + 1, pa.list_(pa.int32()))], ["key", "n", "words"])
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, PASSAGE), pa.int32()), pa.array(best.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(best_key.view(np.int64)), pa.nulls(len(best_key), pa.int64()), flat], ["key", "n", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, FEATURES]), pa.array(np.r_[df[found], total])], ["key", "n"])
 
-    rows = store(documents.select("text").mapInArrow(run, "key bigint, n bigint, words array<int>"), "passage-statistics")
-    counts = rows.where("words is null").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    counts = documents.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(FEATURES + 1)
     df[counts["key"].to_numpy(np.int64)] = counts["n"]
-    weight = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
-    sample = rows.where("words is not null").groupBy("key").agg(F.first("words").alias("words")).orderBy("key").limit(SAMPLE_PASSAGES).select("words").toPandas()
-    return weight, [row[row >= 0] for row in (np.asarray(x, np.int32) for x in sample["words"])]
+    return np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32), int(df[-1])
+
 
+def range_finder() -> np.ndarray:
+    return np.random.default_rng(3).normal(size=(FEATURES, RANK)).astype(np.float32)
 
-def latent_basis(spark: SparkSession, rows: list[tuple[float, np.ndarray]], weight: np.ndarray) -> np.ndarray:
-    """Right singular vectors (FEATURES x rank) of the weighted rows, by a distributed randomised SVD.
 
-    ``rows``: (row weight, features), bounded by the sample and the item block.
+def corpus_product(documents: DataFrame, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A^T A start, where A has a unit row of weighted features for every passage of all texts.
+
+    At most 256 tasks send blocks of their sums, so that what is summed for a block is bounded.
     """
-    block = 512
-    data = spark.createDataFrame(pd.DataFrame({"w": [r[0] for r in rows], "words": [r[1].tolist() for r in rows]}), "w double, words array<int>")
-    data = data.repartition(max(1, min(64, len(rows) // 512)))
-
-    def gram_times(q: np.ndarray) -> np.ndarray:
-        """A^T A q, with A's rows spread over tasks."""
-        shared = spark.sparkContext.broadcast(q)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(q_shape, np.float32)
-            for b in batches:
-                for w, words in zip(b.column("w").to_pylist(), b.column("words").to_pylist(), strict=True):
-                    f, times = np.unique(np.asarray(words, np.int64), return_counts=True)
-                    value = times * weight[f]
-                    value *= w / max(1e-9, float(np.sqrt((value * value).sum())))
-                    total[f] += value[:, None] * (value @ shared.value[f])
-            used = [i for i in range(0, FEATURES, block) if total[i : i + block].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i : i + block].tobytes() for i in used], pa.binary())], ["block", "part"])
-
-        def add(group: pd.DataFrame) -> pd.DataFrame:
-            parts = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["part"])
-            return pd.DataFrame({"block": group["block"][:1], "part": [parts.astype(np.float32).tobytes()]})
-
-        q_shape, out = q.shape, np.zeros(q.shape)
-        for r in data.mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect():
-            out[r["block"] : r["block"] + block] = np.frombuffer(r["part"], np.float32).reshape(-1, q.shape[1])
-        return out
-
-    start = np.random.default_rng(3).normal(size=(FEATURES, min(RANK, len(rows)))).astype(np.float32)
-    q = np.linalg.qr(gram_times(start))[0].astype(np.float32)
-    values, turn = np.linalg.eigh(q.T.astype(np.float64) @ gram_times(q))
-    keep = values > 1e-6 * max(values.max(), 1e-12)
-    return (q @ turn[:, keep]).astype(np.float32)
+    block, piece = 512, 16
+    shared = documents.sparkSession.sparkContext.broadcast((weight, start * weight[:, None]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, table = shared.value
+        total = np.zeros(table.shape)
+        for b in batches:
+            for s in _lower_slabs(b.column("text")):
+                h, first = _word_hashes(s)
+                begin, _ = _passages(first)
+                if not len(begin):
+                    continue
+                n, feature = len(begin), _feature(h)
+                owner = np.repeat(np.arange(n), np.diff(begin, append=len(h)))
+                # words by feature, then passage
+                word = np.sort(feature.astype(np.int64) * n + owner)
+                f, p = word // n, word % n
+                pair = np.flatnonzero(np.diff(word, prepend=-1))
+                energy = np.bincount(p[pair], (np.diff(pair, append=len(word)) * weight[f[pair]]) ** 2.0, minlength=n)
+                row = _sums(table, feature, begin) / np.maximum(energy, 1e-9).astype(np.float32)[:, None]
+                # sums of the rows of a feature's words, which are cut into pieces as some words are very frequent
+                at = np.flatnonzero(np.diff(f, prepend=-1))
+                place = np.arange(len(f)) - np.repeat(at, np.diff(at, append=len(f)))
+                cut = np.flatnonzero(place % piece == 0)
+                part, to, turn = _sums(row, p, cut), f[cut], place[cut] // piece
+                order = np.argsort(turn, kind="stable")
+                for some in np.split(order, np.cumsum(np.bincount(turn))[:-1]):
+                    total[to[some]] += part[some]
+        total *= weight[:, None]
+        used = [i for i in range(0, FEATURES, block) if total[i : i + block].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i : i + block].astype(np.float32).tobytes() for i in used], pa.binary())], ["block", "part"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        parts = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["part"])
+        return pd.DataFrame({"block": group["block"][:1], "part": [parts.astype(np.float32).tobytes()]})
+
+    out = np.zeros(start.shape)
+    for r in documents.select("text").coalesce(256).mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect():
+        out[r["block"] : r["block"] + block] = np.frombuffer(r["part"], np.float32).reshape(-1, start.shape[1])
+    return out
+
+
+def latent_basis(items: list[np.ndarray], weight: np.ndarray, start: np.ndarray, product: np.ndarray, passages: int) -> np.ndarray:
+    """Orthonormal columns (FEATURES x rank) that span what the range finder finds of the corpus's ``product`` and the items' rows."""
+    total = product * min(1.0, CORPUS_WEIGHT / max(1, passages))
+    for words in items:
+        f, times = np.unique(_feature(words), return_counts=True)
+        value = times * weight[f].astype(np.float64)
+        value *= ITEM_WEIGHT / max(1e-9, float(np.linalg.norm(value)))
+        total[f] += value[:, None] * (value @ start[f])
+    basis, values, _ = np.linalg.svd(total, full_matrices=False)
+    return basis[:, values > 1e-5 * max(values.max(), 1e-12)].astype(np.float32)
 
 
 def common_subsequence(masks: dict[int, int], m: int, text: list[int]) -> int:
@@ -340,13 +343,15 @@ def find_items(documents: DataFrame, benchmark: DataFrame, *, cosine: float = CO
     empty benchmark all lists are empty.  Whole texts count at any length.  Repeated rows
     are searched alike.  A column named items is replaced, others pass through.
     """
-    spark, documents = documents.sparkSession, documents.drop("items")
-    out, statistics, parts = documents, None, []
+    documents = documents.drop("items")
+    out, fitted, parts = documents, None, []
     for block in read_items(benchmark):
-        weight, sample = statistics = statistics or corpus_statistics(documents)
+        if fitted is None:
+            (weight, passages), start = corpus_statistics(documents), range_finder()
+            fitted = weight, start, corpus_product(documents, weight, start), passages
         # blocks of even size
         cuts = np.linspace(0, len(block.ids), -(-len(block.ids) // BASIS_ITEMS) + 1).astype(int).tolist()
-        bases = [(a, latent_basis(spark, [(ITEM_WEIGHT, _feature(w)) for w in block.words[a:b]] + [(1.0, w) for w in sample], weight)) for a, b in pairwise(cuts)]
+        bases = [(a, latent_basis(block.words[a:b], *fitted)) for a, b in pairwise(cuts)]
         parts.append(f"_items_{len(parts)}")
         out = _search(out, block, bases, weight, cosine).withColumnRenamed("items", parts[-1])
     if not parts:

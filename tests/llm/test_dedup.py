@@ -324,6 +324,27 @@ def test_decontamination_of_paraphrases(spark, m):
     assert sum(bool(set(got[i]) - {i}) for i in range(100)) <= 2
 
 
+def test_decontamination_basis_is_of_all_passages(spark):
+    """More passages than any sample had: counts and the product of the basis are those of every passage, repeated ones too."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(1, 40))) % 3000) for _ in range(7000)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], "", None]], "text string").repartition(5)
+    weight, n = decontam.corpus_statistics(docs)
+    start = decontam.range_finder()
+    got = decontam.corpus_product(docs, weight, start)
+    want, seen = np.zeros(start.shape), 0
+    for t in [*texts, *texts[:50]]:
+        h = decontam._word_hashes(next(iter(decontam._lower_slabs(pa.array([t])))))[0]
+        for i in range(0, len(h), decontam.PASSAGE):
+            f, times = np.unique(decontam._feature(h[i : i + decontam.PASSAGE]), return_counts=True)
+            v = times * weight[f].astype(float)
+            v /= max(1e-9, np.linalg.norm(v))
+            want[f] += v[:, None] * (v @ start[f])
+            seen += 1
+    assert n == seen > 8192
+    assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
+
+
 def test_decontamination_prefilter_is_implied():
     """The count of a stretch's words that are the item's is never below the common subsequence, also with repeated words."""
     rng = np.random.default_rng(3)
