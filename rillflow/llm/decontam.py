@@ -191,7 +191,8 @@ def latent_basis(items: list[np.ndarray], weight: np.ndarray, start: np.ndarray,
         value *= ITEM_WEIGHT / max(1e-9, float(np.linalg.norm(value)))
         total[f] += value[:, None] * (value @ start[f])
     basis, values, _ = np.linalg.svd(total, full_matrices=False)
-    return basis[:, values > 1e-5 * max(values.max(), 1e-12)].astype(np.float32)
+    # rows are taken from it, which is slow on columns laid out one after another
+    return np.ascontiguousarray(basis[:, values > 1e-5 * max(values.max(), 1e-12)], np.float32)
 
 
 def common_subsequence(masks: dict[int, int], m: int, text: list[int]) -> int:

@@ -343,6 +343,8 @@ def test_decontamination_basis_is_of_all_passages(spark):
             seen += 1
     assert n == seen > 8192
     assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
+    basis = decontam.latent_basis([decontam._word_hashes(next(iter(decontam._lower_slabs(pa.array(["w1 w2 w3"])))))[0]], weight, start, got, n)
+    assert basis.flags.c_contiguous and np.abs(basis.T @ basis - np.eye(basis.shape[1])).max() < 1e-3
 
 
 def test_decontamination_prefilter_is_implied():
