@@ -17,7 +17,7 @@ No pass shuffles texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -84,6 +84,13 @@ def _passages(first: np.ndarray, size: int = PASSAGE) -> tuple[np.ndarray, np.nd
     return first[text] + size * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)), text
 
 
+def _owned(feature: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """feature * passages + passage of each word: numbers that sort by feature, then passage."""
+    n = len(begin)
+    owner = np.repeat(np.arange(n), np.diff(begin, append=len(feature)))
+    return (feature.astype(np.int64) * n + owner).astype(np.int32 if n * FEATURES < 1 << 31 else np.int64)
+
+
 def read_items(benchmark: DataFrame) -> Iterator[Items]:
     """The stated query set, in blocks by a hash of the item: some ``ITEM_BLOCK`` items and ``ITEM_BYTES`` of text each.
 
@@ -119,8 +126,10 @@ def corpus_statistics(documents: DataFrame) -> tuple[np.ndarray, int]:
             for s in _lower_slabs(b.column("text")):
                 h, first = _word_hashes(s)
                 begin, _ = _passages(first)
-                owner = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(h)]))
-                df += np.bincount(np.unique(owner * FEATURES + _feature(h)) % FEATURES, minlength=FEATURES)
+                if not len(begin):
+                    continue
+                word = np.sort(_owned(_feature(h), begin))
+                df += np.bincount(word[np.flatnonzero(np.diff(word, prepend=-1))] // len(begin), minlength=FEATURES)
                 total += len(begin)
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[found, FEATURES]), pa.array(np.r_[df[found], total])], ["key", "n"])
@@ -153,10 +162,9 @@ def corpus_product(documents: DataFrame, weight: np.ndarray, start: np.ndarray)
                 if not len(begin):
                     continue
                 n, feature = len(begin), _feature(h)
-                owner = np.repeat(np.arange(n), np.diff(begin, append=len(h)))
                 # words by feature, then passage
-                word = np.sort(feature.astype(np.int64) * n + owner)
-                f, p = word // n, word % n
+                word = np.sort(_owned(feature, begin))
+                f, p = np.divmod(word, n)
                 pair = np.flatnonzero(np.diff(word, prepend=-1))
                 energy = np.bincount(p[pair], (np.diff(pair, append=len(word)) * weight[f[pair]]) ** 2.0, minlength=n)
                 row = _sums(table, feature, begin) / np.maximum(energy, 1e-9).astype(np.float32)[:, None]
@@ -253,6 +261,70 @@ def _words_held(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray,
     return out
 
 
+def _answer_bits(answers: Sequence[frozenset[int]]) -> np.ndarray:
+    """By ``_held_at`` the answer words of each item, each with a bit of its own; other words may have some of these bits, too."""
+    size = 1 << 16
+    while size < 64 * sum(map(len, answers)):
+        size *= 2
+    bits = np.zeros(size, np.uint8)
+    for k, some in enumerate(answers):
+        at = _held_at(np.fromiter(some, np.uint64, len(some)), np.full(len(some), k), size)
+        np.bitwise_or.at(bits, at, np.uint8(1) << np.arange(len(some), dtype=np.uint8))
+    return bits
+
+
+def _answers_seen(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, bits: np.ndarray, step: int = 4096) -> np.ndarray:
+    """At least how many answer words of ``item`` are among the words h[lo:hi], which are one or more."""
+    out = np.zeros(len(lo), np.int64)
+    for i in range(0, len(lo), step):
+        n = hi[i : i + step] - lo[i : i + step]
+        begin = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(lo[i : i + step] - begin, n)
+        out[i : i + step] = np.bitwise_count(np.bitwise_or.reduceat(bits[_held_at(h[at], np.repeat(item[i : i + step], n), len(bits))], begin))
+    return out
+
+
+def _masks_of_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the words of each item of at most 64 words, and the bits of their positions in it."""
+    short = [k for k, w in enumerate(words) if len(w) <= 64]
+    word = np.concatenate([np.empty(0, np.uint64), *(words[k] for k in short)])
+    item = np.repeat(short, [len(words[k]) for k in short]).astype(np.uint64)
+    place = np.concatenate([np.empty(0, np.uint64), *(np.arange(len(words[k]), dtype=np.uint64) for k in short)])
+    keys, at = np.unique(word ^ mix64(item + np.uint64(1)), return_inverse=True)
+    masks = np.zeros(len(keys), np.uint64)
+    np.bitwise_or.at(masks, at, np.uint64(1) << place)
+    return keys, masks
+
+
+def _common_lengths(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, size: np.ndarray, bits: np.ndarray, words: tuple[np.ndarray, np.ndarray], step: int = 1024) -> np.ndarray:
+    """``common_subsequence`` of each h[lo:hi] and an item of at most 64 words, ``size`` of them; the candidates go on side by side.
+
+    Never less; more only where two items' words have one 64-bit key.
+    """
+    keys, masks = words
+    out = np.zeros(len(lo), np.int64)
+    salt = mix64(item.astype(np.uint64) + np.uint64(1))
+    for i in range(0, len(lo), step):
+        n = hi[i : i + step] - lo[i : i + step]
+        at = np.arange(int(n.sum())) + np.repeat(lo[i : i + step] - np.cumsum(n) + n, n)
+        owner = np.repeat(np.arange(len(n)), n)
+        key = h[at] ^ salt[i : i + step][owner]
+        some = np.flatnonzero(bits[(key & np.uint64(len(bits) - 1)).astype(np.int64)])
+        key, owner = key[some], owner[some]
+        found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        true = np.flatnonzero(keys[found] == key)
+        found, owner = found[true], owner[true]
+        count = np.bincount(owner, minlength=len(n))
+        hits = np.zeros((int(count.max()), len(n)), np.uint64)
+        hits[np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count), owner] = masks[found]
+        row = full = ~np.uint64(0) >> (np.uint64(64) - size[i : i + step].astype(np.uint64))
+        for hit in hits:
+            u = row & hit
+            row = ((row + u) | (row ^ u)) & full
+        out[i : i + step] = size[i : i + step] - np.bitwise_count(row)
+    return out
+
+
 def _sums(table: np.ndarray, row: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of the table's rows ``row[begin[i] : begin[i + 1]]`` for each i, by pieces that fit the CPU's cache."""
     count = np.diff(begin, append=len(row))
@@ -301,11 +373,12 @@ def _search(documents: DataFrame, items: Items, bases: list[tuple[int, np.ndarra
             number = i + np.flatnonzero(sizes == size)
             blocks.setdefault(size, []).append((number, table, *_queries([items.words[k] for k in number], basis, weight, cosine)))
     masks, answers = zip(*(masks_and_answers(w, weight) for w in items.words), strict=True)
-    held = _held_bits(items.words)
-    shared = documents.sparkSession.sparkContext.broadcast((blocks, weight * weight, masks, answers, np.array([len(w) for w in items.words]), items.ids, held))
+    held = _held_bits(items.words), _answer_bits(answers), _masks_of_words(items.words)
+    least_answers = np.array([ANSWER_SHARE * len(a) for a in answers])
+    shared = documents.sparkSession.sparkContext.broadcast((blocks, weight * weight, masks, answers, np.array([len(w) for w in items.words]), items.ids, held, least_answers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, square, masks, answers, sizes, ids, held = shared.value
+        blocks, square, masks, answers, sizes, ids, (held, answer_bits, word_masks), least_answers = shared.value
         for b in batches:
             for s in _lower_slabs(b.column("text")):
                 h, first = _word_hashes(s)
@@ -318,13 +391,22 @@ def _search(documents: DataFrame, items: Items, bases: list[tuple[int, np.ndarra
                     single = np.flatnonzero(np.bincount(text, minlength=s.n)[text] == 1)
                     at = np.concatenate([joined, single])
                     norm = np.sqrt(np.maximum(np.concatenate([energy[joined] + energy[joined + 1], energy[single]]), 1e-9))[:, None]
-                    for number, table, latent, least in probes:
+                    for number, table, latent, cosines in probes:
                         part = _sums(table, feature, begin)
-                        w, item = np.nonzero(np.concatenate([part[joined] + part[joined + 1], part[single]]) / norm @ latent >= least)
+                        w, item = np.nonzero(np.concatenate([part[joined] + part[joined + 1], part[single]]) / norm @ latent >= cosines)
                         item, t = number[item], text[at[w]]
                         lo = np.maximum(first[t], begin[at[w]] - sizes[item])
                         hi = np.minimum(first[t + 1], begin[at[w]] + 2 * size + sizes[item])
-                        some = np.flatnonzero(_words_held(h, lo, hi, item, held) >= PARAPHRASE_SHARE * sizes[item])
+                        # is_held implies what is asked for first, by many candidates at once
+                        known = _words_held(h, lo, hi, item, held)
+                        some = np.flatnonzero(known >= PARAPHRASE_SHARE * sizes[item])
+                        seen = np.zeros(len(item), bool)
+                        seen[some] = _answers_seen(h, lo[some], hi[some], item[some], answer_bits) >= least_answers[item[some]]
+                        least = np.where(seen, PARAPHRASE_SHARE, COPY_SHARE) * sizes[item]
+                        some = some[known[some] >= least[some]]
+                        short = some[sizes[item[some]] <= 64]
+                        known[short] = _common_lengths(h, lo[short], hi[short], item[short], sizes[item[short]], held, word_masks)
+                        some = some[known[some] >= least[some]]
                         for t, k, lo, hi in zip(t[some].tolist(), item[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
                             if ids[k] not in found.get(t, ()) and is_held(masks[k], answers[k], int(sizes[k]), h[lo:hi].tolist()):
                                 found.setdefault(t, set()).add(ids[k])

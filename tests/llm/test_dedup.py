@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rillflow.llm import decontam, joins, linededup, neardup, suffix
+from rillflow.llm import decontam, joins, linededup, neardup, suffix, textarrays
 from rillflow.llm.queries import ORACLE_SQL, QUERIES
 from rillflow.llm.scratch import store
 from rillflow.llm.textarrays import mix64
@@ -365,6 +365,41 @@ def test_decontamination_prefilter_is_implied():
         assert decontam.common_subsequence(masks, len(items[k]), h[a:b].tolist()) <= n
 
 
+def test_decontamination_bounds_of_many_candidates():
+    """Subsequences of candidates side by side equal those of one at a time, and answer words are never undercounted."""
+    rng = np.random.default_rng(4)
+    known = rng.integers(0, 1 << 63, 14).astype(np.uint64)
+    items = [known[rng.integers(0, 12, m)] for m in (1, 2, 7, 31, 63, 64, 65, 200, *rng.integers(1, 65, 30))]
+    weight = rng.random(decontam.FEATURES)
+    masks, answers = zip(*(decontam.masks_and_answers(w, weight) for w in items), strict=True)
+    h = known[rng.integers(0, 14, 600)]
+    h[100:164] = items[5]
+    lo = np.r_[100, rng.integers(0, 400, 300)]
+    hi, item = lo + np.r_[64, rng.integers(1, 200, 300)], np.r_[5, rng.integers(0, len(items), 300)]
+    sizes = np.array([len(w) for w in items])
+    seen = decontam._answers_seen(h, lo, hi, item, decontam._answer_bits(answers), step=7)
+    for a, b, k, n in zip(lo, hi, item, seen, strict=True):
+        assert n >= len(answers[k].intersection(h[a:b].tolist()))
+    short = np.flatnonzero(sizes[item] <= 64)
+    lo, hi, item = lo[short], hi[short], item[short]
+    got = decontam._common_lengths(h, lo, hi, item, sizes[item], decontam._held_bits(items), decontam._masks_of_words(items), step=7)
+    assert got.tolist() == [decontam.common_subsequence(masks[k], len(items[k]), h[a:b].tolist()) for a, b, k in zip(lo, hi, item, strict=True)]
+    assert got[0] == 64
+    none = np.empty(0, np.int64)
+    assert not len(decontam._common_lengths(h, none, none, none, none, decontam._held_bits(items[7:8]), decontam._masks_of_words(items[7:8])))
+
+
+def test_word_hashes_are_polynomials():
+    """Of ranges in any order, at any place: the sum of code * base^place in the word, and the length."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    begin = rng.integers(0, 4900, 200)
+    end = begin + rng.integers(1, 100, 200)
+    base, mask = int(textarrays._WORD_BASE), (1 << 64) - 1
+    want = [sum(int(textarrays.BYTE_CODE[x]) * pow(base, j, 1 << 64) for j, x in enumerate(data[a:b].tolist())) + int(b - a) & mask for a, b in zip(begin, end, strict=True)]
+    assert textarrays.hash_words(data, begin, end).tolist() == mix64(np.array(want, np.uint64)).tolist()
+
+
 def test_decontamination_in_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEM_BLOCK", 7)
     rng = random.Random(6)
