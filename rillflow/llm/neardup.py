@@ -48,6 +48,8 @@ DEPTH = 3
 COUNT_BUCKETS = 1 << 20
 #: Shingles of a prefix that goes along whole.
 SHORT_PREFIX = 64
+#: Bits that tell which documents' texts may be needed: 8 MB, broadcast, whatever the number of documents.
+ID_BITS = 1 << 26
 #: Nodes up to this size are compared exhaustively.
 SMALL_NODE = 64
 
@@ -189,8 +191,30 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _maybe_needed(documents: DataFrame, needed: DataFrame) -> DataFrame:
+    """``documents`` without most of those whose ids aren't in ``needed.doc_id``; none of those is lost.
+
+    ``ID_BITS`` bits are set by hashes of the needed ids, in blocks of 32,768.
+    """
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(ID_BITS - 1)) + 1
+    block, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    blocks = needed.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return documents.join(F.broadcast(blocks), block == F.col("_block")).where(is_set).select(*documents.columns)
+
+
+def _needed_texts(documents: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents whose ids are in ``needed.doc_id``, each there once; few other texts are shuffled.
+
+    A merge join at every size: whether the ids would fit a broadcast changes with the
+    input.  An inner one, as Spark would move a semi join below ``_maybe_needed``.
+    """
+    return _maybe_needed(documents.select("doc_id", "text"), needed).join(needed.select("doc_id").hint("merge"), "doc_id")
+
+
 def _sets(documents: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(doc, shingles) of the documents whose ids are in ``needed.doc_id``."""
+    """(doc, shingles) of the documents whose ids are in ``needed.doc_id``, each there once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,8 +222,7 @@ def _sets(documents: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                 value, bound = shingle_sets(s, width)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.n), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(value.view(np.int64)))], ["doc", "shingles"])
 
-    # a merge join at every size: whether the ids would fit a broadcast changes with the input
-    return store(documents.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc bigint, shingles array<bigint>"), "shingle-sets")
+    return store(_needed_texts(documents, needed).mapInArrow(run, "doc bigint, shingles array<bigint>"), "shingle-sets")
 
 
 def _confirmed(documents: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame | None:

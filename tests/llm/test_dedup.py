@@ -115,6 +115,25 @@ def test_near_duplicates_of_very_long_texts(spark):
     assert got == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)]
 
 
+@pytest.mark.parametrize("bits", [neardup.ID_BITS, 1 << 6])
+def test_sets_shuffle_few_texts(spark, monkeypatch, bits):
+    """Texts whose sets aren't needed are left out before the shuffle, and no needed one is lost, however many share a bit."""
+    monkeypatch.setattr(neardup, "ID_BITS", bits)
+    docs = spark.createDataFrame([(None if i == 5 else i - 1500, f"a b c d e {i % 2900}") for i in range(3000)], "doc_id long, text string").repartition(3)
+    needed = docs.where("doc_id % 60 = 0").select("doc_id").distinct()
+    left = neardup._maybe_needed(docs, needed)
+    assert left.columns == docs.columns
+    assert {r.doc_id for r in needed.collect()} <= {r.doc_id for r in left.collect()}
+    assert bits < 1 << 20 or left.count() <= 60
+    assert neardup._maybe_needed(docs, needed.limit(0)).isEmpty()
+    texts = neardup._needed_texts(docs, needed)
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("doc_id#") < plan.index("_block#") and plan.index("strategy=merge") < plan.index("_block#")
+    want = sorted((r.doc_id, r.text) for r in docs.where("doc_id % 60 = 0").collect())
+    assert sorted(map(tuple, texts.collect())) == want
+    assert sorted(r.doc for r in neardup._sets(docs, needed, 5).collect()) == [d for d, _ in want]
+
+
 def test_salted_join(spark, monkeypatch):
     monkeypatch.setattr(joins, "LEAST_ROWS", 5)
     left = spark.createDataFrame([(k, i) for k in range(4) for i in range([1, 5, 6, 90][k])], "k long, v long")
