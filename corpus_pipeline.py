@@ -63,8 +63,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of the text decoded from them; a null or empty text has no ids."""
     vocabulary = bpe.read_vocabulary(VOCABULARY)
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text"), vocabulary)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, digest=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -291,16 +291,24 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode(documents: DataFrame, vocabulary: str) -> DataFrame:
+def encode(documents: DataFrame, vocabulary: str, *, digest: bool = False) -> DataFrame:
     """``documents`` with ``ids`` (array<int>) and ``n_tokens``.
 
     Every whole text is encoded; a null or empty text gives no ids.  Columns named
     ids or n_tokens are replaced, all others pass through; repeated rows are encoded
     alike; an empty table gives an empty result.  A map without a shuffle.
+
+    ``digest``: with ``decoded_sha256``, the digest of the text decoded from the ids, in
+    place of ``text``.  Both directions run in one map then; two would take twice the
+    workers, each with a codec of its own.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # a file of fixed size
-    kept = documents.drop("ids", "n_tokens")
-    schema = kept.select("*", F.array(F.lit(0)).alias("ids"), F.lit(0).cast("bigint").alias("n_tokens")).schema
+    read = documents.drop("ids", "n_tokens")
+    kept = read.drop("text", "decoded_sha256") if digest else read
+    at = [read.columns.index(c) for c in kept.columns]
+    more = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("bigint")} | ({"decoded_sha256": F.lit("")} if digest else {})
+    schema = kept.select("*", *(c.alias(name) for name, c in more.items())).schema
+    names = schema.names
     for f in schema:
         f.nullable = True
 
@@ -313,10 +321,11 @@ def encode(documents: DataFrame, vocabulary: str) -> DataFrame:
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(c.slice(done, len(ids)) for c in b.columns), pa.ListArray.from_arrays(offsets, flat), pa.array(n)], [*b.schema.names, "ids", "n_tokens"])
+                digests = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in codec.decode(ids)], pa.string())] if digest else []
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(done, len(ids)) for k in at), pa.ListArray.from_arrays(offsets, flat), pa.array(n), *digests], names)
                 done += len(ids)
 
-    return kept.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -52,6 +52,8 @@ SHORT_PREFIX = 64
 ID_BITS = 1 << 26
 #: Nodes up to this size are compared exhaustively.
 SMALL_NODE = 64
+#: List values of an Arrow batch that a Python worker takes at once; a batch may hold 10,000 long lists.
+PIECE = 1 << 15
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -109,6 +111,16 @@ def _sign(documents: DataFrame, width: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens binary")
 
 
+def _pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of whole rows whose lists in ``column`` have up to ``limit`` values together; a longer list is alone."""
+    ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
+    i = done = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(i, j - i)
+        i, done = j, int(ends[j - 1])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
@@ -162,7 +174,7 @@ def _agreeing_in_nodes(members: DataFrame, percent: int) -> DataFrame:
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole, "members")):
             lists = b.column("members")
             items = lists.flatten()
             size = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -249,7 +261,7 @@ def _shingle_counts(sets: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNT_BUCKETS, np.int64)
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole, "shingles", COUNT_BUCKETS // 4)):
             n += np.bincount(_bucket(b.column("shingles").flatten().to_numpy()), minlength=COUNT_BUCKETS)
         some = [(k, np.flatnonzero(part), part) for k, part in enumerate(n.reshape(256, block)) if part.any()]
         packed = [np.concatenate([at, part[at]]).astype(np.int64).tobytes() for _, at, part in some]
@@ -277,12 +289,13 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     Shingles are ordered from rare to frequent buckets; any one order for all documents
     would be right.  ``rest``: shingles from this one on that others may have, too.
-    ``prefix``: all of the document's, if they are few.
+    ``prefix``: all of the document's, if they are few; as each of them has all, some
+    documents at a time are written, so that a batch stays small.
     """
     counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole, "shingles")):
             lists = b.column("shingles")
             n = lists.value_lengths().to_numpy(zero_copy_only=False)
             value, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)

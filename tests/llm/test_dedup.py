@@ -190,6 +190,55 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert got == groups_brute(docs, 3, 85)
 
 
+def test_batches_of_long_lists_stay_small(monkeypatch):
+    """A full Arrow batch of documents whose prefixes go along whole, and one of full nodes; nothing is lost."""
+    taken = []
+
+    class Frame:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken.append(run)
+            return self
+
+    rng = np.random.default_rng(5)
+    n, width = 5000, 300
+    shingles = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, (n // 2, width)), axis=1).repeat(2, axis=0)
+    sets = pa.record_batch({"doc": pa.array(np.arange(n)), "shingles": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(shingles.ravel()))})
+    counts = np.bincount(neardup._bucket(shingles.ravel()), minlength=neardup.COUNT_BUCKETS)
+    monkeypatch.setattr(neardup, "_shingle_counts", lambda sets: counts)
+    frame = Frame()
+    monkeypatch.setattr(Frame, "value", counts, raising=False)
+    neardup._prefixes(frame, 80)
+    out = list(taken.pop()(iter([sets])))
+    assert max(b.get_total_buffer_size() for b in out) < 8 << 20
+    got = pa.Table.from_batches(out).combine_chunks()
+    for d in (0, 1, 109, 2500, n - 1):
+        rows = got.filter(pa.array(got["doc"].to_numpy() == d)).to_pylist()
+        want = sorted(shingles[d].tolist(), key=lambda x: (counts[neardup._bucket(np.array([x]))[0]], x))[: width - 240 + 1]
+        assert [r["shingle"] for r in rows] == want and all(r["prefix"] == want and r["n"] == width for r in rows)
+        assert [r["rest"] for r in rows] == list(range(width, 239, -1))
+    assert got.num_rows == n * 61
+
+    m, nodes = neardup.SMALL_NODE, 2000
+    low = rng.integers(0, 256, (nodes * m, 64), dtype=np.uint8)
+    low[m * 999 + 3] = low[m * 999 + 40]
+    ids = np.arange(nodes * m)
+    items = pa.StructArray.from_arrays([pa.array(ids), pa.array(np.full(nodes * m, 9)), pa.nulls(nodes * m, pa.int64()), pa.array([x.tobytes() for x in low])], ["doc", "n", "colour", "bytes"])
+    lists = pa.record_batch({"members": pa.ListArray.from_arrays(pa.array(np.arange(nodes + 1, dtype=np.int32) * m), items)})
+    monkeypatch.setattr(neardup.F, "collect_list", lambda c: frame)
+    monkeypatch.setattr(neardup.F, "struct", lambda *c: frame)
+    neardup._agreeing_in_nodes(frame, 80)
+    assert [r for b in taken.pop()(iter([lists])) for r in b.to_pylist()] == [{"a": m * 999 + 3, "b": m * 999 + 40}]
+    assert max(len(p.column("members").flatten()) for p in neardup._pieces(lists, "members")) <= neardup.PIECE
+    odd = pa.record_batch({"x": pa.array([[], [1] * 9, [2], [3] * 3, []])})
+    assert [p.num_rows for p in neardup._pieces(odd, "x", 4)] == [1, 1, 3] and not list(neardup._pieces(odd.slice(0, 0), "x", 4))
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, neardup.near_duplicates(df).collect()), key=repr)

@@ -103,6 +103,18 @@ def test_encode_and_decode_tables(spark):
     assert bpe.round_trip(df.limit(0), vocabulary).count() == 0
 
 
+def test_pipeline_encodes_and_decodes_in_one_map(spark):
+    """Each map of a stage has workers of its own, and each of these a codec."""
+    rows = [(1, "en", "a", "Hello  World"), (2, "de", "b", ""), (3, None, None, None), (4, "en", "c", "naïve café 日本 " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    out = corpus_pipeline.encode(spark, df, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    vocabulary = bpe.read_vocabulary(PATH)
+    two = bpe.decode(bpe.encode(df, vocabulary), vocabulary).collect()
+    want = [(r.doc_id, r.lang, r.source, r.n_tokens, r.ids, hashlib.sha256(r.decoded.encode()).hexdigest()) for r in two]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+
+
 def test_bpe_query(spark):
     library = Tokenizer.from_file(PATH)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
